@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import op3_rules
+from tessella.llm import op2_urls, op3_rules
 
 QUERIES = {
+    "op2_url_cascade": op2_urls.op2_url_cascade,
     "op3_quality_rules": op3_rules.op3_quality_rules,
 }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_cascade": op2_urls.oracle(),
         "op3_quality_rules": op3_rules.oracle(),
     }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import op2_urls, op3_rules, op9_shards
+from tessella.llm import op2_urls, op3_rules, op6_packing, op9_shards
 
 QUERIES = {
     "op2_url_cascade": op2_urls.op2_url_cascade,
     "op3_quality_rules": op3_rules.op3_quality_rules,
+    "op6_best_fit_packing": op6_packing.op6_best_fit_packing,
     "op9_hilbert_shards": op9_shards.op9_hilbert_shards,
 }
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import op2_urls, op3_rules, op6_packing, op9_shards
+from tessella.llm import op1_minhash, op2_urls, op3_rules, op6_packing, op9_shards
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash.op1_minhash_dedup,
     "op2_url_cascade": op2_urls.op2_url_cascade,
     "op3_quality_rules": op3_rules.op3_quality_rules,
     "op6_best_fit_packing": op6_packing.op6_best_fit_packing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import op1_minhash, op2_urls, op3_rules, op6_packing, op9_shards
+from tessella.llm import op1_minhash, op10_suffixes, op2_urls, op3_rules, op6_packing, op9_shards
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash.op1_minhash_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": op3_rules.op3_quality_rules,
     "op6_best_fit_packing": op6_packing.op6_best_fit_packing,
     "op9_hilbert_shards": op9_shards.op9_hilbert_shards,
+    "op10_suffix_dedup": op10_suffixes.op10_suffix_dedup,
 }
 
 

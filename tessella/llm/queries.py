@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import op1_minhash, op10_suffixes, op2_urls, op3_rules, op6_packing, op8_secrets, op9_shards
+from tessella.llm import op1_minhash, op10_suffixes, op2_urls, op3_rules, op6_packing, op7_bpe, op8_secrets, op9_shards
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash.op1_minhash_dedup,
     "op2_url_cascade": op2_urls.op2_url_cascade,
     "op3_quality_rules": op3_rules.op3_quality_rules,
     "op6_best_fit_packing": op6_packing.op6_best_fit_packing,
+    "op7_bpe_round_trip": op7_bpe.op7_bpe_round_trip,
     "op8_secret_scan": op8_secrets.op8_secret_scan,
     "op9_hilbert_shards": op9_shards.op9_hilbert_shards,
     "op10_suffix_dedup": op10_suffixes.op10_suffix_dedup,

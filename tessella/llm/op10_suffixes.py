@@ -415,6 +415,44 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return met.unionByName(rest).withColumnRenamed("id", id_col)
 
 
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, same rows and columns, with the removed bytes gone from the texts; a character cut in two goes whole."""
+    scratch = Scratch(docs.sparkSession)
+    ranges = scratch.keep(repeats(docs, id_col, text_col, scratch).groupBy(F.col("doc").alias("_at")).agg(F.collect_list(F.struct("crc", "pos", "num")).alias("_ranges")))
+    ids = ranges.select("_at")
+    admits = members_filter(ids, ids.count())
+    i, j = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def where(inside: bool):
+        def keep(batches):
+            for b in batches:
+                hit = admits(b.column(i).cast(pa.int64()).fill_null(NULL_ID).to_numpy())
+                yield b.filter(pa.array(hit if inside else ~hit))
+
+        return keep
+
+    def strip(batches):
+        for b in texts.sub_batches(batches, text_col):
+            values = b.column(j).to_pylist()
+            for row, found in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                raw = (values[row] or "").encode()
+                crc = zlib.crc32(raw)
+                mine = np.array([(r["pos"], r["pos"] + r["num"]) for r in found or () if r["crc"] & 0xFFFFFFFF == crc], np.int64).reshape(-1, 2)
+                if len(mine):
+                    at, left = 0, []
+                    for x, y in zip(*(c.tolist() for c in _merged(np.zeros(len(mine), np.int64), mine[:, 0], mine[:, 1])[1:]), strict=True):
+                        left.append(raw[at:x])
+                        at = y
+                    values[row] = b"".join([*left, raw[at:]]).decode("utf-8", "ignore")
+            cols = [pa.array(values, b.column(j).type) if c == j else b.column(c) for c in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, docs_names)
+
+    docs_names = docs.columns
+    hit = docs.mapInArrow(where(True), docs.schema)
+    met = hit.join(ranges, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("_at"), "left").select(*[F.col(f"`{c}`") for c in docs_names], "_ranges")
+    return met.mapInArrow(strip, docs.schema).unionByName(docs.mapInArrow(where(False), docs.schema))
+
+
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents with the bytes they lose to earlier occurrences of 100-byte strings."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

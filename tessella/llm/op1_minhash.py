@@ -278,6 +278,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without those that a smaller id stands for. Rows without an id stay.
+
+    Only rows whose id may be among the dropped ones are shuffled to meet them.
+    """
+    scratch = Scratch(docs.sparkSession)
+    judged = near_duplicates(docs, id_col, text_col)
+    gone = scratch.keep(judged.filter(f"NOT kept AND `{id_col}` IS NOT NULL").select(F.col(id_col).alias("_gone")).distinct())
+    admits = members_filter(gone, gone.count())
+    i = docs.columns.index(id_col)
+
+    def where(inside: bool):
+        def keep(batches):
+            for b in batches:
+                ids = b.column(i).cast(pa.int64())
+                hit = admits(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit if inside else ~hit))
+
+        return keep
+
+    hit = docs.mapInArrow(where(True), docs.schema)
+    return hit.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").unionByName(docs.mapInArrow(where(False), docs.schema))
+
+
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents with the size of their set, their component and whether they stay."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -29,7 +29,7 @@ from tessella.llm.ranks import ranked
 BUCKETS, LABELLED, SEED = 1 << 17, 20_000, 11
 PRIOR, LINE, TEMPERATURE = 16, -0.06, 0.002
 #: Counts by which the target model leans on the raw one.
-SHRINK = 8.0
+SHRINK = 32.0
 #: Groups in which tasks' counts are merged before they reach the driver.
 GROUPS = 16
 
@@ -112,39 +112,68 @@ def log_ratios(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS) -> np.
     return np.log(ratio / (raw_p * ratio).sum())
 
 
+def _scores(b: pa.RecordBatch, ratios: np.ndarray, temperature: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams, log weight and score (with the Gumbel noise of the id) of a batch's (id, text) rows."""
+    grams, at = ngram_buckets(*texts.text_bytes(b.column(1)), len(ratios))
+    n = np.diff(at)
+    mean = np.zeros(len(n))
+    full = np.flatnonzero(n)
+    if len(full):
+        mean[full] = np.add.reduceat(ratios[grams], at[full]) / (n[full] + PRIOR)
+    ids = b.column(0).fill_null(-1).to_numpy().astype(np.int64)
+    u = (texts.mix(ids.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64)
+    return n, mean, mean / temperature - np.log(-np.log((u + 0.5) / (1 << 53)))
+
+
 def weighted(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """(id, n_grams, log_weight, score) of every text; score has the Gumbel noise."""
+    """(id, n_grams, log_weight, score) of every text of docs (id long, text string)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def weigh(batches):
         for b in texts.sub_batches(batches):
-            grams, at = ngram_buckets(*texts.text_bytes(b.column(1)), len(shared.value))
-            n = np.diff(at)
-            mean = np.zeros(len(n))
-            full = np.flatnonzero(n)
-            if len(full):
-                mean[full] = np.add.reduceat(shared.value[grams], at[full]) / (n[full] + PRIOR)
-            ids = b.column(0).fill_null(-1).to_numpy().astype(np.int64)
-            u = (texts.mix(ids.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64)
-            noise = -np.log(-np.log((u + 0.5) / (1 << 53)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(mean), pa.array(mean / temperature + noise)], ["id", "n_grams", "log_weight", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _scores(b, shared.value, temperature, seed))], ["id", "n_grams", "log_weight", "score"])
 
     return docs.mapInArrow(weigh, "id long, n_grams long, log_weight double, score double")
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_grams, log_weight, score, rank and kept of every row; the k greatest scores of texts with tokens are kept."""
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, id_col: str, text_col: str):
+    """The ranked scores of every text, k, and the log ratios."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    good = labelled_ids(labels)
-    scored = weighted(plain, log_ratios(plain, good))
-    scored = scored.withColumn("_less", F.when(F.col("n_grams") > 0, -F.col("score")).otherwise(F.lit(float("inf"))))
+    ratios = log_ratios(plain, labelled_ids(labels))
+    scored = weighted(plain, ratios).withColumn("_less", F.when(F.col("n_grams") > 0, -F.col("score")).otherwise(F.lit(float("inf"))))
     placed, _ = ranked(scored, ["_less", "id"], "rank")
     if k is None:
         k = placed.agg(F.count_if((F.col("n_grams") > 0) & (F.col("log_weight") >= LINE))).first()[0]
+    return placed, k, ratios
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_grams, log_weight, score, rank and kept of every row; the k greatest scores of texts with tokens are kept."""
+    placed, k, _ = _drawn(docs, labels, k, id_col, text_col)
     kept = (F.col("rank") < k) & (F.col("n_grams") > 0)
     return placed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "score", "rank", kept.alias("kept"))
 
 
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that ``resample`` keeps, all columns. Texts are not shuffled: the k-th score is the line."""
+    placed, k, ratios = _drawn(docs, labels, k, id_col, text_col)
+    last = placed.filter((F.col("rank") < k) & (F.col("n_grams") > 0)).agg(F.max(F.struct("rank", "score", "id"))).first()[0]
+    if last is None:
+        return docs.limit(0)
+    score, at = last["score"], last["id"]
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    i, j = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in texts.sub_batches(batches, text_col):
+            n, _, got = _scores(pa.RecordBatch.from_arrays([b.column(i).cast(pa.int64()), b.column(j)], ["id", "text"]), shared.value, TEMPERATURE, SEED)
+            ids = b.column(i).cast(pa.int64())
+            low = ids.is_null().to_numpy(zero_copy_only=False) | (ids.fill_null(0).to_numpy() <= (at if at is not None else -(1 << 63)))  # nulls sort first
+            yield b.filter(pa.array((n > 0) & ((got > score) | (got == score) & low)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_importance_resampling(spark, sf_dir: str) -> DataFrame:
     """All documents with their weight, their place in the draw and whether they are kept."""
     return resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

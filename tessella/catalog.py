@@ -1,20 +1,491 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and the SQL that returns the same rows.
+
+An embedding stands for a chunk (row = vec_id) and its label for a file; a document for a text chunk and its source for
+a file. Thresholds follow the tables: pairs of embeddings reach 0.5.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
+from tessella.functions import vectors as V
+from tessella.operators import chunking, cluster, embed, search, similarity
+from tessella.plans import index as plans
 from tessella.runtime import table
+from tessella.sources import discover, readers
 
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
 
-def similar_chunk(spark, sf_dir: str) -> DataFrame:
-    """The ten vectors most similar to vector 0, itself excluded."""
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    probe = vecs.filter("vec_id = 0").select(F.col("v").alias("q"))
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return vecs.filter("vec_id <> 0").join(F.broadcast(probe)).select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
 
-QUERIES = {"similar_chunk": similar_chunk}
-ORACLE: dict[str, str] = {}
+    return add
+
+
+def chunk_table(spark, sf_dir: str) -> DataFrame:
+    """The embeddings as a chunk table."""
+    e = table(spark, sf_dir, "embeddings")
+    path = F.concat(F.lit("d"), (F.col("label") % 3).cast("string"), F.lit("/f"), F.col("label").cast("string"), F.lit(".txt"))
+    return e.select(F.col("vec_id").alias("row"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), path.alias("path"), F.lit("all").alias("locator"), F.lit(False).alias("deleted"), F.col("embedding").alias("vec"))
+
+
+_E = "e AS (SELECT vec_id AS row, 'c' || vec_id AS chunk_id, 'd' || (label % 3) || '/f' || label || '.txt' AS path, embedding::DOUBLE[] AS v FROM embeddings)"
+_S = f"WITH {_E}, s AS (SELECT e.*, list_dot_product(e.v, q.v) AS score FROM e, (SELECT v FROM e WHERE row = 0) q)"
+#: Mean vectors of the files, scaled to length 1.
+_FV = """u AS (SELECT path, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+m AS (SELECT path, i, avg(x) AS x, count(*) AS n FROM u GROUP BY path, i),
+f AS (SELECT path, list(x / l ORDER BY i) AS v, max(n) AS items FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY path)) AS l FROM m) GROUP BY path)"""
+
+
+def _probe(spark, sf_dir: str, row: int = 0) -> list[float]:
+    return list(chunk_table(spark, sf_dir).filter(F.col("row") == row).first()["vec"])
+
+
+def _ranked(spark, sf_dir: str, **options) -> DataFrame:
+    return search.search(chunk_table(spark, sf_dir), _probe(spark, sf_dir), **options).select("row", "score", "path")
+
+
+# --- search, similar, compare ---------------------------------------------------------------------------------------------
+
+
+@_query(f"{_S} SELECT row, round(score, 4) AS score, path FROM s ORDER BY s.score DESC, row LIMIT 10")
+def search_topk(spark, sf_dir):
+    """Top ten for a query vector."""
+    return _ranked(spark, sf_dir)
+
+
+@_query(f"{_S} SELECT row, round(score, 4) AS score, path FROM s WHERE score >= 0.2 ORDER BY s.score DESC, row LIMIT 50")
+def search_min_score(spark, sf_dir):
+    """A least score, filtered before ranking."""
+    return _ranked(spark, sf_dir, k=50, min_score=0.2)
+
+
+@_query(f"{_S} SELECT row, round(score, 4) AS score, path FROM s WHERE regexp_matches(path, '^d1/.*$') OR regexp_matches(split_part(path, '/', -1), '^d1/.*$') ORDER BY s.score DESC, row LIMIT 10")
+def search_path_glob(spark, sf_dir):
+    """Files that match a pattern."""
+    return _ranked(spark, sf_dir, path_glob="d1/*")
+
+
+@_query(f"{_S} SELECT row, round(score, 4) AS score, path FROM s WHERE regexp_matches(split_part(path, '/', -1), '^f[0-4]\\.txt$') ORDER BY s.score DESC, row LIMIT 10")
+def search_name_glob(spark, sf_dir):
+    """Files whose name matches a pattern."""
+    return _ranked(spark, sf_dir, path_glob="f[0-4].txt")
+
+
+@_query(f"{_S}, b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, row) AS n FROM s) SELECT row, round(score, 4) AS score, path FROM b WHERE n = 1 ORDER BY b.score DESC, row LIMIT 5")
+def search_group_by_file(spark, sf_dir):
+    """The best chunk of each of the five best files."""
+    return _ranked(spark, sf_dir, k=5, group_by_file=True)
+
+
+@_query(f"{_S} SELECT row, round(score, 4) AS score, path FROM s WHERE row <> 0 ORDER BY s.score DESC, row LIMIT 10")
+def similar_chunk(spark, sf_dir):
+    """Chunks most similar to a chunk, itself excluded."""
+    return search.similar(chunk_table(spark, sf_dir), "c0").select("row", "score", "path")
+
+
+@_query(f"WITH {_E}, {_FV} SELECT e.row, round(list_dot_product(e.v, f.v), 4) AS score, e.path FROM e, f WHERE f.path = 'd0/f3.txt' AND e.path <> f.path ORDER BY list_dot_product(e.v, f.v) DESC, row LIMIT 10")
+def similar_file(spark, sf_dir):
+    """Chunks most similar to a file's mean vector, its own excluded."""
+    return search.similar(chunk_table(spark, sf_dir), "d0/f3.txt").select("row", "score", "path")
+
+
+_SPANS = "p AS (SELECT doc_id AS row, source AS path, (doc_id % 7 * 10 + 1)::INTEGER AS start_line, (doc_id % 7 * 10 + 1 + doc_id % 23)::INTEGER AS end_line FROM documents)"
+
+
+@_query(f"WITH {_SPANS} SELECT row, path, start_line, end_line FROM p WHERE path = 'src3' AND start_line <= 25 AND end_line >= 25 ORDER BY end_line - start_line, row LIMIT 1")
+def item_at_line(spark, sf_dir):
+    """The narrowest chunk that covers a line of a file."""
+    start = (F.col("doc_id") % 7 * 10 + 1).cast("int")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("source").alias("path"), start.alias("start_line"), (start + F.col("doc_id") % 23).cast("int").alias("end_line"))
+    return search.at_line(d, "src3", 25)
+
+
+@_query(f"WITH {_E} SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_dot_product(a.v, b.v), 4) AS score FROM e a, e b WHERE a.row = 1 AND b.row = 2")
+def compare_chunks(spark, sf_dir):
+    """Cosine of two chunks."""
+    got = search.compare(chunk_table(spark, sf_dir), "c1", "c2")
+    return spark.createDataFrame([("c1", "c2", got["score"])], "a string, b string, score double")
+
+
+@_query(f"WITH {_E}, {_FV} SELECT a.path AS a, b.path AS b, round(list_dot_product(a.v, b.v), 4) AS score, 'cosine of mean chunk vectors' AS score_kind FROM f a, f b WHERE a.path = 'd1/f1.txt' AND b.path = 'd2/f2.txt'")
+def compare_files(spark, sf_dir):
+    """Cosine of two files' mean vectors."""
+    got = search.compare(chunk_table(spark, sf_dir), "d1/f1.txt", "d2/f2.txt")
+    return spark.createDataFrame([(got["a"], got["b"], got["score"], got["score_kind"])], "a string, b string, score double, score_kind string")
+
+
+@_query(f"WITH {_E} SELECT a.row AS a, b.row AS b, round(list_dot_product(a.v, b.v), 4) AS score FROM e a, e b WHERE a.path = 'd1/f1.txt' AND b.path = 'd2/f2.txt' ORDER BY list_dot_product(a.v, b.v) DESC, a.row, b.row LIMIT 5")
+def compare_best_chunk_pairs(spark, sf_dir):
+    """The five most similar chunk pairs of two files."""
+    return search.best_pairs(chunk_table(spark, sf_dir), "d1/f1.txt", "d2/f2.txt").withColumn("score", F.round("score", 4))
+
+
+@_query()
+def compare_text(spark, sf_dir):
+    """Cosine of two texts, embedded as documents."""
+    score = search.compare_texts(embed.HashedWords(), "two high tides a day", "high tide comes twice each day")
+    return spark.createDataFrame([(score,)], "score double")
+
+
+# --- all pairs --------------------------------------------------------------------------------------------------------------
+
+_P = f"WITH {_E}, s AS (SELECT a.row AS a, b.row AS b, a.path AS pa, b.path AS pb, list_dot_product(a.v, b.v) AS score FROM e a JOIN e b ON a.row < b.row)"
+
+
+@_query(f"{_P} SELECT a, b, round(score, 4) AS score FROM s WHERE score >= 0.35")
+def dupes(spark, sf_dir):
+    """All pairs of cosine at least 0.35."""
+    return similarity.dupes(chunk_table(spark, sf_dir), 0.35).withColumn("score", F.round("score", 4))
+
+
+@_query(f"{_P} SELECT a, b, round(score, 4) AS score FROM s WHERE score >= 0.35 AND pa <> pb")
+def dupes_across_files(spark, sf_dir):
+    """Pairs of different files."""
+    return similarity.dupes(chunk_table(spark, sf_dir), 0.35, across_files_only=True).withColumn("score", F.round("score", 4))
+
+
+@_query(f"{_P} SELECT a, b, round(score, 4) AS score, 'c' || a AS chunk_a, 'c' || b AS chunk_b, (SELECT count(*) FROM s WHERE score >= 0.35) AS total_pairs FROM s WHERE score >= 0.35 ORDER BY s.score DESC, a, b LIMIT 50")
+def dupes_report(spark, sf_dir):
+    """The fifty best pairs with their chunks, and the number of all."""
+    got = similarity.dupes_report(chunk_table(spark, sf_dir), 0.35)
+    return got.withColumn("chunk_a", F.col("chunk_a.chunk_id")).withColumn("chunk_b", F.col("chunk_b.chunk_id")).withColumn("total_pairs", F.col("total_pairs").cast("long"))
+
+
+_N = f"WITH {_E}, s AS (SELECT a.row AS item, b.row AS other, a.path AS pa, b.path AS pb, list_dot_product(a.v, b.v) AS score FROM e a JOIN e b ON a.row <> b.row)"
+
+
+@_query(f"{_N}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS rank FROM s) SELECT item, rank::INTEGER AS rank, other, round(score, 4) AS score, pa AS path, pb AS other_path FROM r WHERE rank <= 5")
+def neighbors(spark, sf_dir):
+    """The five nearest chunks of every chunk."""
+    return similarity.nearest(chunk_table(spark, sf_dir), k=5).withColumn("score", F.round("score", 4))
+
+
+@_query(f"{_N}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS rank FROM s) SELECT item, rank::INTEGER AS rank, other, round(score, 4) AS score, pa AS path, pb AS other_path FROM r WHERE rank <= 5 AND score >= 0.3")
+def neighbors_min_score(spark, sf_dir):
+    """Lists cut at a least score."""
+    return similarity.nearest(chunk_table(spark, sf_dir), k=5, min_score=0.3).withColumn("score", F.round("score", 4))
+
+
+@_query(f"{_N}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS rank FROM s WHERE pa <> pb) SELECT item, rank::INTEGER AS rank, other, round(score, 4) AS score, pa AS path, pb AS other_path FROM r WHERE rank <= 5")
+def neighbors_across_files(spark, sf_dir):
+    """Neighbours of other files only, chosen before the ranking."""
+    return similarity.nearest(chunk_table(spark, sf_dir), k=5, across_files_only=True).withColumn("score", F.round("score", 4))
+
+
+@_query(f"WITH {_E}, {_FV}, s AS (SELECT a.path, b.path AS other_path, list_dot_product(a.v, b.v) AS score FROM f a JOIN f b ON a.path <> b.path), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC) AS rank FROM s) SELECT path, rank::INTEGER AS rank, other_path, round(score, 4) AS score FROM r WHERE rank <= 3")
+def neighbors_file(spark, sf_dir):
+    """The three nearest files of every file."""
+    return similarity.nearest(chunk_table(spark, sf_dir), "file", k=3).select("path", "rank", "other_path", F.round("score", 4).alias("score"))
+
+
+@_query(f"{_N}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS rank FROM s), l AS (SELECT item, string_agg(other::VARCHAR, ',' ORDER BY rank) AS others, count(*) AS n FROM r WHERE rank <= 3 AND score >= 0.35 GROUP BY item) SELECT e.row AS item, coalesce(others, '') AS others, coalesce(n, 0)::INTEGER AS n FROM e LEFT JOIN l ON l.item = e.row")
+def neighbor_lists(spark, sf_dir):
+    """Every item with its list, which may be empty."""
+    got = similarity.neighbors(chunk_table(spark, sf_dir), k=3, min_score=0.35)
+    return got.select("item", F.array_join(F.transform("neighbors", lambda x: x["other"].cast("string")), ",").alias("others"), F.size("neighbors").alias("n"))
+
+
+_O = f"{_N}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, other) AS rank FROM s), o AS (SELECT item, pa AS path, avg(score) AS mean FROM r WHERE rank <= 5 GROUP BY item, pa)"
+
+
+@_query(f"{_O} SELECT item, path, round(mean, 4) AS mean_neighbor_score, round((SELECT median(mean) FROM o), 4) AS median_mean_neighbor_score FROM o ORDER BY mean, item LIMIT 10")
+def outliers(spark, sf_dir):
+    """The ten chunks least similar to their five nearest, and the median."""
+    return similarity.outliers(chunk_table(spark, sf_dir))
+
+
+@_query(f"WITH {_E}, {_FV}, s AS (SELECT a.path, list_dot_product(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.path ORDER BY list_dot_product(a.v, b.v) DESC) AS rank FROM f a JOIN f b ON a.path <> b.path) SELECT path, round(avg(score), 4) AS mean_neighbor_score FROM s WHERE rank <= 2 GROUP BY path ORDER BY avg(score) LIMIT 4")
+def outliers_file(spark, sf_dir):
+    """The four files least similar to their two nearest."""
+    return similarity.outliers(chunk_table(spark, sf_dir), "file", neighbors=2, n=4).select("path", "mean_neighbor_score")
+
+
+@_query(f"WITH {_E}, {_FV} SELECT path, items, i - 1 AS dim, round(x, 6) AS value FROM (SELECT path, items, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM f)")
+def file_vectors(spark, sf_dir):
+    """Mean vectors of the files, scaled to length 1."""
+    got = search.file_vectors(chunk_table(spark, sf_dir))
+    return got.select("path", "items", F.posexplode("vec").alias("dim", "value")).select("path", "items", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+# --- clusters ---------------------------------------------------------------------------------------------------------------
+
+
+def _centroids(spark, sf_dir):
+    """The files' mean vectors in the order of their paths: a fixed number of centroids."""
+    return [r["vec"] for r in search.file_vectors(chunk_table(spark, sf_dir)).orderBy("path").collect()]
+
+
+def _assigned(spark, sf_dir):
+    return cluster.assign(similarity.level_vectors(chunk_table(spark, sf_dir), "chunk"), _centroids(spark, sf_dir))
+
+
+_A = f"WITH {_E}, {_FV}, c AS (SELECT row_number() OVER (ORDER BY path) - 1 AS label, v FROM f), s AS (SELECT e.row AS item, e.path, c.label, list_dot_product(e.v, c.v) AS sim FROM e, c), a AS (SELECT item, path, label, sim FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY sim DESC, label) AS n FROM s) WHERE n = 1)"
+
+
+@_query(f"{_A} SELECT item, label::INTEGER AS label, round(sim, 4) AS sim FROM a")
+def cluster_assign(spark, sf_dir):
+    """Every chunk's nearest centroid."""
+    return _assigned(spark, sf_dir).select("item", "label", F.round("sim", 4).alias("sim"))
+
+
+@_query(f"{_A}, z AS (SELECT label, count(*) AS size, round(avg(sim), 4) AS cohesion FROM a GROUP BY label), p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, item) AS p FROM a), r AS (SELECT label, string_agg(item::VARCHAR, ',' ORDER BY p) AS reps FROM p WHERE p <= 3 GROUP BY label) SELECT (row_number() OVER (ORDER BY size DESC, label) - 1)::INTEGER AS cluster, size, cohesion, reps, size > 20 AS members_truncated FROM z JOIN r USING (label)")
+def cluster_summary(spark, sf_dir):
+    """Clusters by size, with cohesion and representatives."""
+    got = cluster.describe(_assigned(spark, sf_dir), reps=3, max_members=20)
+    return got.select("cluster", "size", "cohesion", F.array_join(F.transform("representatives", lambda x: x["item"].cast("string")), ",").alias("reps"), "members_truncated")
+
+
+@_query(f"{_A}, d AS (SELECT x.item, x.label AS own, y.label AS other, 1 - list_dot_product(p.v, q.v) AS d FROM a x JOIN a y ON x.item <> y.item JOIN e p ON p.row = x.item JOIN e q ON q.row = y.item), g AS (SELECT item, own, other, avg(d) AS d FROM d GROUP BY ALL), b AS (SELECT item, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM g GROUP BY item) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM b")
+def silhouette(spark, sf_dir):
+    """Mean silhouette of the clusters, on the bounded sample that the choice of their number uses."""
+    items = _assigned(spark, sf_dir).orderBy(F.xxhash64("item"), "item").limit(cluster.SEARCH_SAMPLE).select("vec", "label").collect()
+    import numpy as np
+
+    return spark.createDataFrame([(round(cluster.silhouette(np.array([r["vec"] for r in items], float), np.array([r["label"] for r in items])), 4),)], "silhouette double")
+
+
+@_query()
+def cluster_kmeans(spark, sf_dir):
+    """k-means of the chunks with eight clusters; seeds differ from any SQL, so sizes and cohesion are tested apart."""
+    return cluster.cluster(chunk_table(spark, sf_dir), k=8)[0].select("cluster", "size", "cohesion")
+
+
+@_query()
+def cluster_choose_k(spark, sf_dir):
+    """Silhouettes of the numbers of clusters tried at file level."""
+    tried = cluster.cluster(chunk_table(spark, sf_dir), level="file")[1]["k_search"]
+    return spark.createDataFrame([(t["k"], t["silhouette"]) for t in tried], "k int, silhouette double")
+
+
+# --- text -------------------------------------------------------------------------------------------------------------------
+
+
+@_query(r"SELECT doc_id, i - 1 AS line, regexp_replace(l, '\r$', '') AS text FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''))")
+def physical_lines(spark, sf_dir):
+    """Lines of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.physical_lines(F.col("text"))).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+
+@_query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(replace(replace(text, '. ', chr(10)), ', ', chr(10) || chr(10)), chr(10)) AS ls FROM documents)),
+g AS (SELECT *, sum(CASE WHEN trim(l) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l)
+SELECT doc_id, min(i)::INTEGER AS start_line, max(i)::INTEGER AS end_line, sha256(string_agg(l, chr(10) ORDER BY i)) AS sha FROM g WHERE trim(l) <> '' GROUP BY doc_id, g""")
+def paragraph_units(spark, sf_dir):
+    """Paragraphs of the documents, with lines made at sentences and blank lines at commas."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit(". "), F.lit("\n")), F.lit(", "), F.lit("\n\n")).alias("text"))
+    return T.paragraphs(d, "doc_id", "text").select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("sha"))
+
+
+@_query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+h AS (SELECT *, sum(CASE WHEN i % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l),
+x AS (SELECT doc_id, s, max(CASE WHEN i % 5 = 1 THEN rtrim(regexp_replace(l, '^[ ]+', '')) END) AS heading, min(i) AS a, max(i) AS b FROM h GROUP BY doc_id, s)
+SELECT doc_id, count(*)::INTEGER AS sections, sum(b - a + 1)::BIGINT AS lines FROM x GROUP BY doc_id""")
+def markdown_sections(spark, sf_dir):
+    """Sections of the documents with every fifth line made a heading."""
+    import pandas as pd
+
+    def sections(parts):
+        for p in parts:
+            rows = []
+            for key, text in zip(p["doc_id"], p["text"], strict=True):
+                marked = "\n".join(("# t " if i % 5 == 0 else "x ") + x for i, x in enumerate(text.split("\n")))
+                got = readers.read_markdown(marked)
+                whole = sum(sum(u.last - u.first + 1 for u in s.units) for s in got)
+                rows.append((key, len(got), whole))
+            yield pd.DataFrame(rows, columns=["doc_id", "sections", "lines"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(sections, "doc_id long, sections int, lines long")
+
+
+@_query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::INTEGER AS tokens FROM documents")
+def token_count(spark, sf_dir):
+    """Words of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+
+
+@_query(r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents),
+w AS (SELECT doc_id, n, unnest(range(0, (greatest(0, ceil((n - 120) / 102.0)) * 102 + 1)::BIGINT, 102)) AS s FROM t)
+SELECT doc_id, s::INTEGER AS start, least(120, n - s)::INTEGER AS tokens FROM w""")
+def split_windows(spark, sf_dir):
+    """Windows of 120 tokens with 18 shared."""
+    n = table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n"))
+    return n.select("doc_id", "n", F.explode(T.windows(F.col("n"), 120, 18)).alias("start")).select("doc_id", F.col("start").cast("int").alias("start"), F.least(F.lit(120), F.col("n") - F.col("start")).cast("int").alias("tokens"))
+
+
+@_query()
+def chunk_pack(spark, sf_dir):
+    """Documents as files, cut into chunks of 120 tokens: a stateful fold, tested against a plain one."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return chunking.with_ids(chunking.chunk_files(files).filter("part IS NOT NULL")).select("path", "part", "chunk_id", "locator", "start_line", "end_line", "sha256")
+
+
+@_query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def text_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@_query("""WITH RECURSIVE i AS (SELECT doc_id, substr(sha1(source || chr(0) || 'all' || chr(0) || sha256(text)), 1, 12) AS id FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS n FROM i),
+h AS (SELECT id, max(n) AS most, 1 AS n, id AS h FROM n GROUP BY id UNION ALL SELECT id, most, n + 1, substr(sha1(h), 1, 12) FROM h WHERE n < most)
+SELECT doc_id, h AS chunk_id FROM n JOIN h USING (id, n)""")
+def chunk_id(spark, sf_dir):
+    """Ids of the documents as chunks of their source, hashed anew where they repeat."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.chunk_id(F.col("source"), F.lit("all"), F.sha2("text", 256)).alias("chunk_id"))
+    return T.unique_ids(d, "chunk_id", ["doc_id"])
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'rec:' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '#3' ELSE '' END WHEN doc_id % 5 = 1 THEN 'p' || doc_id WHEN doc_id % 5 = 2 THEN 'p' || doc_id || ':L1-' || n_chars WHEN doc_id % 5 = 3 THEN 'L1-' || n_chars ELSE 'all' END AS locator FROM documents""")
+def locator(spark, sf_dir):
+    """Addresses of every kind."""
+    m = F.col("doc_id") % 5
+    lines = (m == 2) | (m == 3)
+    place = T.locator(F.when(lines, F.lit(1)), F.when(lines, F.col("n_chars")), F.when((m == 1) | (m == 2), F.col("doc_id")), F.when(m == 0, F.col("doc_id").cast("string")), F.lit(2), F.when(F.col("doc_id") % 10 == 0, 3).otherwise(1))
+    return table(spark, sf_dir, "documents").select("doc_id", place.alias("locator"))
+
+
+@_query(r"SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(substr(text, 1, 300), '\s+$', '') || ' …' END AS snippet FROM documents")
+def snippet(spark, sf_dir):
+    """The first 300 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text"), 300).alias("snippet"))
+
+
+@_query("SELECT p_partkey, concat_ws(chr(10), CASE WHEN trim(p_name) <> '' THEN 'p_name: ' || p_name END, CASE WHEN trim(p_brand) <> '' THEN 'p_brand: ' || p_brand END, 'p_size: ' || p_size) AS text FROM part")
+def record_text(spark, sf_dir):
+    """Rows as ``name: value`` lines."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.record_text(["p_name", "p_brand", "p_size"]).alias("text"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS text FROM events")
+def record_json_path(spark, sf_dir):
+    """A field of JSON records by path."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("text"))
+
+
+@_query("SELECT c_custkey, coalesce(CASE WHEN trim(c_name) <> '' AND c_custkey % 3 > 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, c_custkey::VARCHAR) AS id FROM customer")
+def record_id(spark, sf_dir):
+    """The first candidate that is not blank, else the ordinal."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.record_id(None, [F.when(key % 3 > 0, F.col("c_name")), F.when(key % 2 == 0, F.col("c_mktsegment"))], key).alias("id"))
+
+
+# --- embedding --------------------------------------------------------------------------------------------------------------
+
+
+@_query()
+def hash_embed(spark, sf_dir):
+    """Hashed vectors of the documents: BLAKE2b is in neither engine's SQL. Non-zero dimensions and their sum."""
+    d = table(spark, sf_dir, "documents").select("doc_id", embed.embedded(F.col("text")).alias("v"))
+    return d.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("dims"), F.round(V.norm(F.col("v")), 3).alias("norm"))
+
+
+@_query()
+def text_dupes_hashed(spark, sf_dir):
+    """Documents whose hashed vectors have a cosine of at least 0.9."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("source").alias("path"), F.lit(False).alias("deleted"), embed.embedded(F.col("text")).alias("vec"))
+    return similarity.dupes(d, embed.MODELS["hash"].dupe_threshold).withColumn("score", F.round("score", 4))
+
+
+@_query(r"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents),
+c AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 2048 AS bucket, count(*) AS n FROM w GROUP BY ALL)
+SELECT id, bucket, round(n / sqrt(sum(n::DOUBLE * n) OVER (PARTITION BY id)), 6) AS weight FROM c""")
+def md5_feature_vectors(spark, sf_dir):
+    """The variant of the hashed embedder in SQL functions."""
+    return embed.md5_features(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+# --- index maintenance ------------------------------------------------------------------------------------------------------
+
+_K = "k AS (SELECT 'f' || doc_id AS path, n_chars AS size, doc_id::DOUBLE AS mtime, md5(text) AS sha256 FROM documents WHERE doc_id % 4 <> 0)"
+_F = "f AS (SELECT 'f' || doc_id AS path, n_chars AS size, doc_id::DOUBLE + CASE WHEN doc_id % 5 < 2 THEN 1 ELSE 0 END AS mtime, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE md5(text) END AS sha256 FROM documents WHERE doc_id % 7 <> 0)"
+_D = f"WITH {_K}, {_F}, d AS (SELECT coalesce(k.path, f.path) AS path, CASE WHEN k.path IS NULL THEN 'added' WHEN f.path IS NULL THEN 'removed' WHEN k.size = f.size AND k.mtime = f.mtime THEN 'unchanged' WHEN k.sha256 = f.sha256 THEN 'touched' ELSE 'changed' END AS status FROM k FULL JOIN f ON k.path = f.path)"
+
+
+def _snapshots(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    cols = [F.concat(F.lit("f"), key.cast("string")).alias("path"), F.col("n_chars").alias("size")]
+    known = d.filter(key % 4 != 0).select(*cols, key.cast("double").alias("mtime"), F.md5(F.col("text").cast("binary")).alias("sha256"))
+    found = d.filter(key % 7 != 0).select(*cols, (key.cast("double") + F.when(key % 5 < 2, 1).otherwise(0)).alias("mtime"), F.when(key % 5 == 0, "new").otherwise(F.md5(F.col("text").cast("binary"))).alias("sha256"))
+    return known, found
+
+
+@_query(f"{_D} SELECT path, status FROM d")
+def index_diff(spark, sf_dir):
+    """What changed between two listings of files."""
+    return plans.diff(*_snapshots(spark, sf_dir))
+
+
+@_query(f"{_D} SELECT status, count(*) AS n, min(path) AS first FROM d GROUP BY status")
+def index_summary(spark, sf_dir):
+    """How many files of each status."""
+    return plans.diff(*_snapshots(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+
+
+def _chunk_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("row"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 3 == 0).alias("deleted"))
+
+
+@_query(f"{_D} SELECT doc_id AS row, 'f' || doc_id AS path, doc_id % 3 = 0 OR d.path IS NOT NULL AS deleted FROM documents LEFT JOIN (SELECT path FROM d WHERE status IN ('changed', 'removed')) d ON d.path = 'f' || doc_id")
+def index_tombstone(spark, sf_dir):
+    """Rows of changed and removed files marked deleted."""
+    gone = plans.diff(*_snapshots(spark, sf_dir)).filter("status IN ('changed', 'removed')")
+    return plans.tombstoned(_chunk_rows(spark, sf_dir), gone)
+
+
+@_query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, 'f' || doc_id AS path, false AS deleted FROM documents WHERE doc_id % 3 <> 0")
+def index_compact(spark, sf_dir):
+    """Rows that are alive, numbered anew."""
+    return plans.compacted(_chunk_rows(spark, sf_dir))
+
+
+@_query("SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id % 3 <> 0) AS alive, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS dead_share, avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END) > 0.2 AS compacts FROM documents")
+def index_info(spark, sf_dir):
+    """Rows, live rows, and whether the index is to be compacted."""
+    share = F.avg(F.col("deleted").cast("double"))
+    return _chunk_rows(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(~F.col("deleted")).alias("alive"), F.round(share, 6).alias("dead_share"), (share > plans.DEAD_SHARE).alias("compacts"))
+
+
+@_query("SELECT source AS index, count(*) AS chunks, count(DISTINCT lang) AS files, max(doc_id) AS updated FROM documents GROUP BY source")
+def index_list(spark, sf_dir):
+    """One row for each index."""
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("index")).agg(F.count("*").alias("chunks"), F.countDistinct("lang").alias("files"), F.max("doc_id").alias("updated"))
+
+
+# --- discovery --------------------------------------------------------------------------------------------------------------
+
+
+@_query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path, length(html) AS size FROM pages)
+SELECT page_id, path, size <= 4000 AS small, (regexp_matches(path, '^en/.*$') OR regexp_matches(split_part(path, '/', -1), '^en/.*$')) AND NOT (regexp_matches(path, '^.*\.html$')) AS taken FROM p""")
+def discover_filter(spark, sf_dir):
+    """Include and exclude patterns and the size limit, on the pages' paths."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"), F.length("html").alias("size"))
+    return p.select("page_id", "path", (F.col("size") <= 4000).alias("small"), (T.matches_glob(F.col("path"), "en/*") & ~T.matches_glob(F.col("path"), "*.html")).alias("taken"))
+
+
+@_query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT page_id, path, [regexp_matches(path, '^(?:.*/)?[^/]*\.html$'), regexp_matches(path, '^en/[^/]*$'), regexp_matches(path, '^(?:.*/)?1[^/]*$')] AS hits FROM p)
+SELECT page_id, path, CASE WHEN hits[3] THEN false WHEN hits[2] THEN true WHEN hits[1] THEN true ELSE false END AS ignored FROM r""")
+def gitignore_filter(spark, sf_dir):
+    """Ignore rules on the pages' paths: the last one that fits decides."""
+    rules = discover.ignore_rules("# rules\n*.html\n/en/*\n!1*\n")
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"))
+    verdict = F.lit(False)
+    for r in rules:
+        verdict = F.when(F.col("path").rlike(f"^(?:{r.regex.pattern})$"), F.lit(not r.keep)).otherwise(verdict)
+    return p.select("page_id", "path", verdict.alias("ignored"))
+
+
+def report(query: str, df: DataFrame, **more) -> str:
+    """A result as one JSON document, as a command-line front end prints it; rows reach the driver."""
+    return json.dumps({"ok": True, "command": query, **more, "results": [r.asDict(recursive=True) for r in df.collect()]}, ensure_ascii=False, default=str)

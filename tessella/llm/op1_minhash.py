@@ -11,8 +11,8 @@ meets in some table with probability (1 - (1 - 0.75 ** WIDTH) ** HALVES) ** 2: 0
 
 *Work.* Equal sets are collapsed first (one class, one representative). In a bucket each member is first paired with the
 bucket's busiest member only, which joins a group of n copies in n checks. Buckets that then still hold more than one
-component pair up members of different components, block by block, with pairs that set sizes or a 64-cell count sketch
-prove too different left out; no pair that could be a link is. Confirmation streams over (hub, block) runs and holds one
+component send the members outside their main one round their blocks, to meet all members of other components; pairs
+that set sizes or a bit array of the set (BITS a shingle) prove too different are left out, no pair that could be a link. Confirmation streams over (hub, block) runs and holds one
 hub's set and one member's set at a time. Links, components and sets stay distributed.
 
 Edge cases: null text has an empty set; null ids are kept and never merged under an id (their component is the smallest
@@ -35,8 +35,8 @@ from tessella.runtime import Scratch
 SHINGLE = 5
 HALVES, WIDTH = 8, 2
 LEAST, OF = 75, 100
-#: Cells of the count sketch, and members of a block when buckets are paired up.
-CELLS, BLOCK = 64, 256
+#: Bits a shingle of a set's bit array, and members of a block when buckets are paired up.
+BITS, BLOCK = 8, 256
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -90,6 +90,14 @@ def half_keys(sets: np.ndarray, at: np.ndarray, halves: int = HALVES, width: int
     return keys
 
 
+def _bit_array(s: np.ndarray) -> bytes:
+    """A set's shingles by their low bits, in a power of two of at least BITS a shingle."""
+    size = 1 << max(6, (BITS * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _slim(batches):
     """id, n, fingerprint, half-keys and sketch of every text."""
     for b in texts.sub_batches(batches):
@@ -103,10 +111,10 @@ def _slim(batches):
             both[full, 0] = np.add.reduceat(texts.mix(sets ^ np.uint64(_C[0])), at[full])
             both[full, 1] = np.add.reduceat(texts.mix(sets ^ np.uint64(_C[3])), at[full])
         mark = texts.mix(both[:, 0] * np.uint64(_C[4]) + both[:, 1])
-        cell = np.bincount(np.repeat(np.arange(len(n)), n) * CELLS + (sets & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS).reshape(len(n), CELLS).astype(np.int32)
+        cells = [_bit_array(sets[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(n), pa.array(both[:, 0].view(np.int64)), pa.array(mark.view(np.int64)),
-             pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([c.tobytes() for c in cell], pa.binary())],
+             pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(cells, pa.binary())],
             ["id", "n", "f1", "f2", "keys", "cells"])
 
 
@@ -178,45 +186,64 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["key", "doc", "n"])
 
 
-def _block_pairs(batches):
-    """Rows (key, p, q, block, doc, n, component, cells) sorted by key, p, q: pairs of two blocks' members that lie in
-    different components and that neither set sizes nor sketches prove unlinked."""
-
-    def pairs(rows):
-        block, doc, n, comp = (np.array(c) for c in zip(*[r[:4] for r in rows], strict=True))
-        cells = np.frombuffer(b"".join(r[4] for r in rows), np.int32).reshape(len(rows), CELLS)
-        p, q = int(block.min()), int(block.max())
-        a = np.flatnonzero(block == p)
-        b = np.flatnonzero(block == q)
-        out = ([], [])
-        for i in a:
-            j = b[b > i] if p == q else b
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (doc[j] != doc[i]) & (OF * lo >= LEAST * hi)]
-            if len(j):
-                most = np.minimum(cells[i], cells[j]).sum(axis=1)  # the intersection is no larger
-                j = j[OF * most >= LEAST * (n[i] + n[j] - most)]
-                out[0].append(np.minimum(doc[i], doc[j]))
-                out[1].append(np.maximum(doc[i], doc[j]))
-        return [np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]), axis=1)]
-
-    run, rows = None, []
+def _folded(bits: bytes, words: int) -> np.ndarray:
+    """A bit array as so many words, halves laid over each other where it is longer."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+class _Members:
+    """Members of a block of a bucket, met by one probe at a time."""
+
+    def __init__(self, rows):
+        self.doc, self.n, self.comp = (np.array(c) for c in zip(*[r[:3] for r in rows], strict=True))
+        self.bits = [r[3] for r in rows]
+        self.size = np.array([len(x) // 8 for x in self.bits])
+        self.folded = {}
+
+    def words(self, size: int, to: int) -> np.ndarray:
+        """Bit arrays of the members of a size, folded to so many words."""
+        if (size, to) not in self.folded:
+            self.folded[size, to] = np.stack([_folded(self.bits[m], to) for m in np.flatnonzero(self.size == size)])
+        return self.folded[size, to]
+
+    def partners(self, doc: int, n: int, comp: int, bits: bytes) -> np.ndarray:
+        """Members of other components that neither set sizes nor bit arrays prove unlinked to the probe."""
+        out, own = [], len(bits) // 8
+        ok = (self.comp != comp) & (self.doc != doc) & (OF * np.minimum(n, self.n) >= LEAST * np.maximum(n, self.n))
+        for size in np.unique(self.size[ok]).tolist():
+            members = np.flatnonzero(self.size == size)
+            some = ok[members]
+            to = min(own, size)
+            mine, theirs, at = _folded(bits, to), self.words(size, to)[some], members[some]
+            both = np.minimum(n - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), self.n[at] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+            out.append(self.doc[at[OF * both >= LEAST * (n + self.n[at] - both)]])  # the intersection is no larger
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _probed(batches):
+    """Rows (key, block, kind, doc, n, component, cells) sorted by the first three: a block's members (kind 0, at most
+    about BLOCK) and then the probes that meet them, to pairs (smaller doc, larger doc) that must be confirmed."""
+    run, rows, members = None, [], None
     for batch in batches:
-        head = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        body = list(zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True))
-        made = []
-        for h, r in zip(head, body, strict=True):
-            if h != run:
-                if rows:
-                    made += pairs(rows)
-                run, rows = h, []
-            rows.append(r)
-        if made:
-            got = np.concatenate(made, axis=1).astype(np.int64)
+        out = []
+        for key, block, kind, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if (key, block) != run:
+                run, rows, members = (key, block), [], None
+            if kind == 0:
+                rows.append(row)
+                continue
+            if members is None:
+                if not rows:
+                    continue
+                members, rows = _Members(rows), []
+            if len(found := members.partners(*row)):
+                out.append(np.stack([np.minimum(found, row[0]), np.maximum(found, row[0])]))
+        if out:
+            got = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["doc", "hub"])
-    if rows:
-        got = pairs(rows)[0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["doc", "hub"])
 
 
 def _with_counts(pairs: DataFrame) -> DataFrame:
@@ -255,14 +282,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets that still hold several components
     placed = shared.join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum")).filter("a <> b")
-    once = mixed.groupBy("size", "sum").agg(F.min("key").alias("key"))  # buckets of the same members count once
-    blocks = F.expr(f"cast(ceil(size / {BLOCK}.0) as int)")
-    members = placed.join(once.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc", "n", "component").join(classes.select("doc", "cells"), "doc")
-    spread = spread.select("key", "p", "q", "block", "doc", "n", "component", "cells")
-    crossed = spread.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_block_pairs, "doc long, hub long").distinct()
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("size"), F.sum("s").alias("sum")).filter("parts > 1")
+    once = mixed.groupBy("size", "sum").agg(F.min(F.struct("key", F.col("m.component").alias("main"))).alias("k"))  # buckets of the same members count once
+    once = once.select("k.key", "k.main", F.expr(f"cast(ceil(size / {BLOCK}.0) as int)").alias("blocks"))
+    members = placed.join(once, "key")
+    home = members.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "doc", "n", "component")
+    # two members of different components are not both in the bucket's main one: the others go round its blocks
+    probes = members.filter("component <> main").select("key", F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(1).alias("kind"), "doc", "n", "component")
+    met = home.unionByName(probes).join(classes.select("doc", "cells"), "doc").select("key", "block", "kind", "doc", "n", "component", "cells")
+    crossed = met.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(_probed, "doc long, hub long").distinct()
     crossed = scratch.keep(crossed.join(stars.select(F.least("doc", "hub").alias("doc"), F.greatest("doc", "hub").alias("hub")), ["doc", "hub"], "left_anti"))
     if not crossed.isEmpty():
         more = scratch.keep(confirmed(_with_counts(crossed), sets))

@@ -92,7 +92,7 @@ def unique_ids(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     return df.withColumn(id_col, again)
 
 
-def record_text(columns: list[str], strings: set[str] | None = None) -> Column:
+def record_text(columns: list[str]) -> Column:
     """``name: value`` lines of the columns that are not blank."""
     parts = [F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns]
     return F.concat_ws("\n", *parts)

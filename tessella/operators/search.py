@@ -6,7 +6,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -45,6 +47,25 @@ def hit(score: Column | None, snip: int, columns: list[str]) -> list[Column]:
     return out + ([T.snippet(F.col("text"), snip).alias("text")] if "text" in columns else [])
 
 
+#: Dimensions up to which scores are native expressions; beyond, a task multiplies its Arrow batches as matrices.
+NATIVE_DIMS = 128
+
+
+def scores(rows: DataFrame, query) -> DataFrame:
+    """(row, path, _score): inner product of every row's vector with a vector, in double precision."""
+    if len(query) <= NATIVE_DIMS:
+        return rows.select("row", "path", V.dot(F.col("vec"), V.literal(query)).alias("_score"))
+    q = np.asarray(query, np.float64)
+
+    def run(batches):
+        for b in batches:
+            m = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.astype(np.float64) @ q)], ["row", "path", "_score"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select("row", "path", "vec").mapInArrow(run, f"row {kinds['row']}, path {kinds['path']}, _score double")
+
+
 def ranked(chunks: DataFrame, query, k: int = 10, min_score: float | None = None, path_glob: str | None = None, group_by_file: bool = False, exclude_rows: list[int] | None = None, exclude_path: str | None = None, snip: int = 300) -> DataFrame:
     """The k chunks of greatest inner product with a vector, best first, ties by row.
 
@@ -59,7 +80,7 @@ def ranked(chunks: DataFrame, query, k: int = 10, min_score: float | None = None
         rows = rows.filter(F.col("path") != exclude_path)
     if exclude_rows:
         rows = rows.filter(~F.col("row").isin(*exclude_rows))
-    scored = rows.select("row", "path", V.dot(F.col("vec"), V.literal(query)).alias("_score"))
+    scored = scores(rows, query)
     if min_score is not None:
         scored = scored.filter(F.col("_score") >= min_score)
     if group_by_file:

@@ -67,6 +67,13 @@ def test_items_and_errors(spark):
         similarity.nearest(c.filter("path = 'a.md'"), across_files_only=True)
 
 
+def test_scores_native_and_blocked_agree(spark, monkeypatch):
+    c, q = chunk_rows(spark), [0.5, -0.25, 0.125, 1.0]
+    native = [tuple(r) for r in search.search(c, q, k=3).collect()]
+    monkeypatch.setattr(search, "NATIVE_DIMS", 0)
+    assert [tuple(r) for r in search.search(c, q, k=3).collect()] == native and len(native) == 3
+
+
 def test_clusters_of_blobs(spark):
     rng = np.random.default_rng(5)
     centers = np.eye(16)[:3]

@@ -5,8 +5,8 @@ the rank of the pair that starts at each symbol, its nodes the least (rank, plac
 pair of the lowest rank. Merging it changes three leaves, each an update of logarithmic cost, and ends when the root
 says that no pair can be merged; a part of n bytes takes O(n log n), however long and whatever it holds.
 
-Encoded parts are remembered in each worker process, up to CACHE parts of at most SHORT characters; longer or later parts
-are encoded anew, so memory is bounded and results do not depend on it. The vocabulary (a file of fixed size) is read
+Encoded parts are remembered in each worker process, up to CACHE parts of at most SHORT characters (about 200 MB); longer
+or later parts are encoded anew, so memory is bounded and results do not depend on it. The vocabulary (a file of fixed size) is read
 once by the driver and broadcast.
 
 Edge cases: null is empty; an empty text has no tokens; a special token's string in a text is that token, as in the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import texts
 
-CACHE, SHORT = 200_000, 48
+CACHE, SHORT = 600_000, 48
 #: Largest vocabulary file that is broadcast.
 MOST_BYTES = 16 << 20
 _NONE = 1 << 62

@@ -248,11 +248,8 @@ def cluster_summary(spark, sf_dir):
 
 @_query(f"{_A}, d AS (SELECT x.item, x.label AS own, y.label AS other, 1 - list_dot_product(p.v, q.v) AS d FROM a x JOIN a y ON x.item <> y.item JOIN e p ON p.row = x.item JOIN e q ON q.row = y.item), g AS (SELECT item, own, other, avg(d) AS d FROM d GROUP BY ALL), b AS (SELECT item, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM g GROUP BY item) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM b")
 def silhouette(spark, sf_dir):
-    """Mean silhouette of the clusters, on the bounded sample that the choice of their number uses."""
-    items = _assigned(spark, sf_dir).orderBy(F.xxhash64("item"), "item").limit(cluster.SEARCH_SAMPLE).select("vec", "label").collect()
-    import numpy as np
-
-    return spark.createDataFrame([(round(cluster.silhouette(np.array([r["vec"] for r in items], float), np.array([r["label"] for r in items])), 4),)], "silhouette double")
+    """Mean silhouette of the clusters, over all chunks."""
+    return cluster.mean_silhouette(_assigned(spark, sf_dir)).select(F.round("silhouette", 4).alias("silhouette"))
 
 
 @_query()

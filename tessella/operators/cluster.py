@@ -72,6 +72,27 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where((own > 0) & (top > 0), (outside - inside) / np.where(top > 0, top, 1), 0.0).mean())
 
 
+def mean_silhouette(items: DataFrame, vec_col: str = "vec", label_col: str = "label") -> DataFrame:
+    """One row ``silhouette``: the mean over all items, by distance 1 - inner product, from one vector sum per label.
+
+    An item's distances to a cluster sum to its size less the inner product with the cluster's vector sum, so nothing but
+    the sums (a vector a label) reaches the driver. An item alone in its cluster counts 0; null for fewer than two labels.
+    """
+    flat = items.select(label_col, F.posexplode(vec_col).alias("_i", "_x"))
+    per = flat.groupBy(label_col, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_s"), F.count("*").alias("_n"))
+    sums = per.groupBy(label_col).agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_v"), F.max("_n").alias("_n")).collect()
+    if len(sums) < 2:
+        return items.sparkSession.createDataFrame([(None,)], "silhouette double")
+    x = F.col(vec_col)
+    totals = F.array(*[F.struct(F.lit(r[label_col]).alias("label"), F.lit(float(r["_n"])).alias("n"), (F.lit(float(r["_n"])) - V.dot(x, V.literal(p["_s"] for p in r["_v"]))).alias("d")) for r in sums])
+    each = items.select(F.col(label_col).alias("_l"), (F.lit(1.0) - V.dot(x, x)).alias("_self"), totals.alias("_t"))
+    own = F.filter("_t", lambda t: t["label"] == F.col("_l"))[0]
+    outside = F.array_min(F.transform(F.filter("_t", lambda t: t["label"] != F.col("_l")), lambda t: t["d"] / t["n"]))
+    each = each.select(own["n"].alias("_n"), F.when(own["n"] > 1, (own["d"] - F.col("_self")) / (own["n"] - 1)).alias("_a"), outside.alias("_b"))
+    top = F.greatest("_a", "_b")
+    return each.agg(F.avg(F.when(F.col("_a").isNull() | (top == 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / top)).alias("silhouette"))
+
+
 def choose_k(x: np.ndarray, seed: int = 0) -> tuple[int, list[dict]]:
     """The number of clusters of greatest silhouette (rounded to four places; ties to the smaller), and all tried."""
     if len(x) > SEARCH_SAMPLE:

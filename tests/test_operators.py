@@ -90,6 +90,18 @@ def test_clusters_of_blobs(spark):
         cluster.cluster(df, k=200)
 
 
+def test_mean_silhouette(spark):
+    """All of 2,500 items, one of them alone in its cluster, against every distance."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2500, 8)) + 2 * np.eye(8)[rng.integers(4, size=2500)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = x[:, :4].argmax(axis=1)
+    labels[0] = 9
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, labels, strict=True)], "vec array<double>, label int")
+    assert abs(cluster.mean_silhouette(df).first()[0] - cluster.silhouette(x, labels)) < 1e-9
+    assert cluster.mean_silhouette(df.filter("label = 1")).first()[0] is None
+
+
 def test_readers():
     md = "# T\n\n## A\n\none\n\n```\n# no heading\n```\n\n## B\ntwo\n"
     got = readers.read_markdown(md)

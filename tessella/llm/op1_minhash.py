@@ -45,9 +45,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
     h, at = texts.word_hashes(raw, offsets)
     n = np.diff(at)
     sets, sizes = [], np.zeros(len(n), np.int64)
-    grams = np.zeros(max(len(h) - k + 1, 0), np.uint64)
+    m = max(len(h) - k + 1, 0)
+    grams = np.zeros(m, np.uint64)
     for j in range(k):
-        grams += h[j : len(h) - k + 1 + j] * np.uint64(_C[j % len(_C)] + 2 * (j // len(_C)))
+        grams += h[j : j + m] * np.uint64(_C[j % len(_C)] + 2 * (j // len(_C)))
     grams = texts.mix(grams)
     for i in range(len(n)):
         if n[i] >= k:

@@ -45,6 +45,17 @@ def test_near_duplicates_odd_tables(spark, table):
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 3, 7] and kept[0]["size"] == "z"
 
 
+def test_near_duplicates_of_few_words(spark, table):
+    """Batches of one text, of fewer words than a shingle and around it."""
+    text = "one two three four five six"
+    for n in range(7):
+        some = " ".join(text.split()[:n])
+        sets, at = op1_minhash.shingle_sets(np.frombuffer(some.encode(), np.uint8), np.array([0, len(some)]))
+        assert at.tolist() == [0, len(sets)] and len(sets) == len(brute.shingles(some))
+    got = op1_minhash.near_duplicates(table([(3, "one two three")], 1)).collect()
+    assert [tuple(r) for r in got] == [(3, 1, 3, True)]
+
+
 def test_banding_meets_its_recall():
     """Pairs at the threshold meet in some table about as often as the formula says."""
     r, met = np.random.default_rng(3), 0

@@ -15,9 +15,10 @@ and is allowed; an empty table gives no rows; repeated rows are judged row by ro
 from __future__ import annotations
 
 import math
+from pathlib import Path
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.runtime import Scratch
@@ -31,7 +32,7 @@ class Rule(NamedTuple):
 
 #: Explicit rules; of those that fit a url the longest wins.
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
-#: Listed domains: a parameter, so its size is fixed.
+#: Listed domains of the registered query, as its SQL has them: a parameter, so its size is fixed. bad_hosts has more.
 LISTED = ("spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net")
 #: Largest sum of the levels' bits that goes into a plan (512 KiB).
 MAX_BITS = 1 << 22
@@ -155,9 +156,16 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] =
     return marked.select(id_col, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
-def op2_url_cascade(spark, sf_dir: str) -> DataFrame:
-    """Every page's host, path, rule and verdict; where no rule fits, the cascade over LISTED decides."""
-    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
+def bad_hosts(spark: SparkSession) -> DataFrame:
+    """The keys of bad_hosts.txt, a list for ``listed``: one column ``key``."""
+    lines = (Path(__file__).parent / "bad_hosts.txt").read_text().split("\n")
+    return spark.createDataFrame([(k,) for k in lines if k and not k.startswith("#")], "key string")
+
+
+def op2_url_cascade(spark, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
+    """Every page's host, path, rule and verdict; where no rule fits, the cascade over ``listed`` (LISTED if not given) decides."""
+    if listed is None:
+        listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
     return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed)
 
 

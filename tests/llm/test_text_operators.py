@@ -43,6 +43,14 @@ def test_rules_of_urls(spark):
     assert empty.collect() == []
 
 
+def test_urls_of_a_given_list(spark, sf_dir):
+    """With bad_hosts every family in pages is listed, and nothing else."""
+    got = op2_urls.op2_url_cascade(spark, sf_dir, op2_urls.bad_hosts(spark)).collect()
+    bad = re.compile(r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$")
+    assert [r["listed"] for r in got] == [bool(bad.search(r["host"])) for r in got] and sum(r["listed"] for r in got) == 3
+    assert all(r["verdict"] == "block" for r in got if r["listed"] and r["rule"] is None)
+
+
 # --- quality rules ----------------------------------------------------------------------------------------------------------
 
 

@@ -13,19 +13,21 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
 
     Each round points every node's larger neighbours at its smallest one (large star), then its smaller neighbours too
     (small star); it ends when the links stay as they are, each then going straight to its component's smallest node.
-    The number of rounds grows with the logarithm of the longest chain.
+    The number of rounds grows with the logarithm of the longest chain. The smallest neighbours are written and read
+    again, so that a centre with a large share of all links is a skewed join of two plain shuffles, which Spark splits.
     """
     edges = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.keep(large)
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         after = scratch.keep(small)
         r = after.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        scratch.drop(edges)
+        scratch.drop(edges, low, large, least)
         edges = after
         if before == (r["n"], r["h"]):
             break

@@ -7,17 +7,22 @@ links reach.
 *Tensored banding.* Two collections of HALVES half-keys of WIDTH min-hashes each are computed, 2 * HALVES * WIDTH
 min-hashes in all; every pair of a left and a right half-key forms a table key, so HALVES ** 2 tables of 2 * WIDTH
 hashes come from about the square root of the min-hashes that independent tables would need. A pair of similarity 0.75
-meets in some table with probability (1 - (1 - 0.75 ** WIDTH) ** HALVES) ** 2: 0.9973 with the defaults, 0.9999 at 0.82.
-
-*Work.* Equal sets are collapsed first (one class, one representative). In a bucket each member is first paired with the
-bucket's busiest member only, which joins a group of n copies in n checks. Buckets that then still hold more than one
-component send the members outside their main one round their blocks, to meet all members of other components; pairs
-that set sizes or a bit array of the set (BITS a shingle) prove too different are left out, no pair that could be a link. Confirmation streams over (hub, block) runs and holds one
-hub's set and one member's set at a time. Links, components and sets stay distributed.
-
-Edge cases: null text has an empty set; null ids are kept and never merged under an id (their component is the smallest
-non-null id linked, if any); rows that repeat an id are judged as copies or links like any other rows; an empty table
-gives no rows; other columns of the input are not read.
+meets in some table with probability (1 - (1 - 0.75 ** WIDTH) ** HALVES) ** 2: 0.9999 with the defaults.
+
+*Work.* Equal sets are collapsed first (one class, one representative, a number of its own). Table keys are dealt out by
+ranges of (key, class), so a bucket of any size is split. In a bucket each member is first paired with the bucket's
+busiest member only, which joins a group of n copies in n checks. Buckets that then still hold more than one component
+send the members outside their main one round their blocks, to meet all members of other components; pairs that set sizes
+or a bit array of the set (BITS a shingle) prove too different are left out, no pair that could be a link. Confirmation
+streams over (hub, block) runs and holds one hub's set and one member's set at a time. Links, components and sets stay
+distributed.
+
+*Hashes.* Shingles are compared by 64-bit hashes (``texts.word_hashes``): a link is wrong only where hashes of unlike
+shingles meet within one pair of texts, one in 2 ** 64 for each pair of shingles.
+
+Edge cases: null text has an empty set; rows without an id are kept, judged and linked like any other (their component is
+the smallest id linked, null if there is none); rows that repeat an id are judged text by text; an empty table gives no
+rows; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tessella.llm import texts
 from tessella.llm.components import components
@@ -33,10 +39,12 @@ from tessella.llm.member import members_filter
 from tessella.runtime import Scratch
 
 SHINGLE = 5
-HALVES, WIDTH = 8, 2
+HALVES, WIDTH = 12, 2
 LEAST, OF = 75, 100
 #: Bits a shingle of a set's bit array, and members of a block when buckets are paired up.
 BITS, BLOCK = 8, 256
+#: Tasks over which the pairs of a hub of more than BLOCK are spread while they are counted.
+SPREAD = 64
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -99,36 +107,39 @@ def _bit_array(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _marks(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(texts, 2) whole numbers that stand for each set, zeros for an empty one."""
+    both = np.zeros((len(at) - 1, 2), np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        both[full, 0] = np.add.reduceat(texts.mix(sets ^ np.uint64(_C[0])), at[full])
+        both[full, 1] = np.add.reduceat(texts.mix(sets ^ np.uint64(_C[3])), at[full])
+        both[full, 1] = texts.mix(both[full, 0] * np.uint64(_C[4]) + both[full, 1])
+    return both.view(np.int64)
+
+
 def _slim(batches):
     """id, n, fingerprint, half-keys and sketch of every text."""
     for b in texts.sub_batches(batches):
         raw, offsets = texts.text_bytes(b.column(1))
         sets, at = shingle_sets(raw, offsets)
-        n = np.diff(at)
-        keys = half_keys(sets, at)
-        both = np.zeros((len(n), 2), np.uint64)
-        full = np.flatnonzero(n)
-        if len(full):
-            both[full, 0] = np.add.reduceat(texts.mix(sets ^ np.uint64(_C[0])), at[full])
-            both[full, 1] = np.add.reduceat(texts.mix(sets ^ np.uint64(_C[3])), at[full])
-        mark = texts.mix(both[:, 0] * np.uint64(_C[4]) + both[:, 1])
+        marks = _marks(sets, at)
         cells = [_bit_array(sets[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n), pa.array(both[:, 0].view(np.int64)), pa.array(mark.view(np.int64)),
-             pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(cells, pa.binary())],
+            [b.column(0), pa.array(np.diff(at)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([k.tobytes() for k in half_keys(sets, at)], pa.binary()), pa.array(cells, pa.binary())],
             ["id", "n", "f1", "f2", "keys", "cells"])
 
 
 def _table_keys(batches):
-    """(key, doc, n) for every pair of half-keys of a representative."""
+    """(key, doc) for every pair of half-keys of a class."""
     for b in batches:
-        for start in range(0, b.num_rows, 2048):
-            part = b.slice(start, 2048)
-            keys = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(part.num_rows, 2 * HALVES)
+        for start in range(0, b.num_rows, 1024):
+            part = b.slice(start, 1024)
+            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(part.num_rows, 2 * HALVES)
             left, right = keys[:, :HALVES], keys[:, HALVES:]
             tag = np.arange(HALVES * HALVES, dtype=np.uint64).reshape(1, HALVES, HALVES)
             table = texts.mix(left[:, :, None] * np.uint64(_C[0]) + right[:, None, :] * np.uint64(_C[1]) + tag * np.uint64(_C[3]))
-            yield pa.RecordBatch.from_arrays([pa.array(table.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), HALVES * HALVES)), pa.array(np.repeat(part.column(1).to_numpy(), HALVES * HALVES))], ["key", "doc", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(table.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), HALVES * HALVES))], ["key", "doc"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -161,9 +172,13 @@ def _confirm(batches):
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (doc, hub). sets: doc, set (sorted hashes as bytes), each doc once.
 
-    A hub's pairs are dealt in blocks, so a hub of any number of pairs spreads, and its set travels once a block.
+    A hub's pairs are dealt in blocks, so a hub of any number of pairs spreads, and its set travels once a block. Hubs of
+    more than BLOCK pairs meet them in SPREAD parts; there are at most as many of these rows as pairs * SPREAD / BLOCK.
     """
-    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.expr(f"cast(ceil(n_pairs / {BLOCK}.0) as bigint)"))))
+    busy = pairs.groupBy("hub").agg(F.count("*").alias("n_pairs")).filter(F.col("n_pairs") > BLOCK)
+    busy = busy.select("hub", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), F.expr(f"cast(ceil(n_pairs / {BLOCK}.0) as bigint)").alias("blocks"))
+    parted = pairs.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(SPREAD)).cast("int")).join(busy, ["hub", "part"], "left")
+    dealt = parted.withColumn("block", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))))
     members = dealt.select("hub", "block", "doc", F.lit(1).alias("own"))
     hubs = dealt.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc"), F.lit(0).alias("own"))
     rows = members.unionByName(hubs).join(sets, "doc").select("hub", "block", "doc", "own", "set")
@@ -171,20 +186,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared(batches):
-    """Rows (key, doc, n) sorted by key: those whose key another row has too."""
-    held = None
+    """Rows (key, doc) in order: those whose key another row has too, or may have in another partition (that of its first
+    and last key), with ``size``, the rows of the key in the batch."""
+    held = None  # (key, doc) of the last row, and whether it is kept
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(3)]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held[0], cols, strict=True)]
-        same = cols[0][1:] == cols[0][:-1]
-        keep = np.concatenate([[held is not None and held[1]], same]) | np.concatenate([same, [False]])
-        # the last row waits for its successor
-        held = ([c[-1:] for c in cols], bool(keep[-1]))
+        key, doc = (b.column(i).to_numpy() for i in range(2))
+        if not len(key):
+            continue
+        first = held is None
+        if not first:
+            key, doc = np.concatenate([held[0], key]), np.concatenate([held[1], doc])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        keep = ~new | np.concatenate([~new[1:], [False]])
+        keep[0] |= first or held[2]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)[group]
+        held = key[-1:], doc[-1:], bool(keep[-1])  # the last row waits for its successor
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "doc", "n"])
-    if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["key", "doc", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, doc, size)], ["key", "doc", "size"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(np.ones(1, np.int64))], ["key", "doc", "size"])
 
 
 def _folded(bits: bytes, words: int) -> np.ndarray:
@@ -247,89 +268,113 @@ def _probed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["doc", "hub"])
 
 
-def _with_counts(pairs: DataFrame) -> DataFrame:
-    per = pairs.groupBy("hub").agg(F.count("*").alias("n_pairs"))
-    return pairs.join(per, "hub")
+def _sets(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, set) of the classes in ``wanted`` (doc, id, f1, f2, n), each once, from any text that has the set.
 
+    Sets are made only for texts whose id may be that of a wanted class, or that have no id and may be in one without.
+    """
+    named, nameless = wanted.filter("id IS NOT NULL").select("id"), wanted.filter("id IS NULL").select("f1")
+    admits, by_mark = members_filter(named, named.count()), members_filter(nameless, nameless.count())
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept (id = component_id) of every row of docs."""
+    def run(batches):
+        for b in texts.sub_batches(batches):
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(null | admits(b.column(0).fill_null(0).to_numpy())))
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            sets, at = shingle_sets(*texts.text_bytes(b.column(1)))
+            n, marks = np.diff(at), _marks(sets, at)
+            _, once = np.unique(marks, axis=0, return_index=True)  # copies in the batch count once
+            once = once[(n[once] > 0) & (~null[once] | by_mark(np.ascontiguousarray(marks[once, 0])))]
+            yield pa.RecordBatch.from_arrays([pa.array(marks[once, 0]), pa.array(marks[once, 1]), pa.array(n[once]), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in once], pa.binary())], ["f1", "f2", "n", "set"])
+
+    made = plain.mapInArrow(texts.trimmed(run), "f1 long, f2 long, n long, set binary")
+    return made.join(wanted.select("doc", "f1", "f2", "n"), ["f1", "f2", "n"]).select("doc", "set").dropDuplicates(["doc"])
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, f1, f2, component) of every row of docs; component: the smallest id linked."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    slim = scratch.keep(plain.mapInArrow(_slim, "id long, n long, f1 long, f2 long, keys binary, cells binary"))
-    classes = scratch.keep(slim.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("doc"), F.first("keys").alias("keys"), F.first("cells").alias("cells")).filter("doc IS NOT NULL"))
+    slim = scratch.keep(plain.mapInArrow(texts.trimmed(_slim), "id long, n long, f1 long, f2 long, keys binary, cells binary"))
+    grouped = slim.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("cells").alias("cells"))
+    classes = scratch.keep(grouped.withColumn("doc", F.monotonically_increasing_id()))  # numbers are fixed by writing them
 
-    tables = classes.select("doc", "n", "keys").mapInArrow(_table_keys, "key long, doc long, n long")
-    shared = scratch.keep(tables.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long, n long"))
+    tables = classes.select("doc", "keys").mapInArrow(_table_keys, "key long, doc long")
+    shared = scratch.keep(tables.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc").mapInArrow(texts.trimmed(_shared), "key long, doc long, size long"))
 
     # a first link of every member to its bucket's busiest one
-    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key")
-    weight = sized.groupBy("doc").agg(F.sum("size").alias("w"))
-    hubs = shared.join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("m")).select("key", (-F.col("m.d")).alias("hub"))
+    weight = shared.groupBy("doc").agg(F.sum("size").alias("w"))
+    hubs = shared.join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d"))).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    hubs = scratch.keep(hubs.select("key", (-F.col("m.d")).alias("hub")))
     stars = scratch.keep(shared.join(hubs, "key").filter("doc <> hub").select("doc", "hub").distinct())
-    involved = scratch.keep(stars.select("doc").unionByName(stars.select(F.col("hub").alias("doc"))).distinct())
-    admits = members_filter(involved, involved.count())
-
-    def sets_of(batches):
-        for b in texts.sub_batches(batches):
-            ids = b.column(0).fill_null(-1).to_numpy()
-            b = b.filter(pa.array(admits(ids) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            sets, at = shingle_sets(*texts.text_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc", "set"])
-
-    sets = scratch.keep(plain.mapInArrow(sets_of, "doc long, set binary").join(involved, "doc", "left_semi").filter("length(set) > 0").dropDuplicates(["doc"]))
-    links = scratch.keep(confirmed(_with_counts(stars), sets))
+    involved = stars.select("doc").unionByName(stars.select(F.col("hub").alias("doc"))).distinct()
+    wanted = scratch.keep(classes.select("doc", "id", "f1", "f2", "n").join(involved, "doc", "left_semi"))
+    sets = scratch.keep(_sets(plain, wanted))
+    links = scratch.keep(confirmed(stars, sets))
     found = scratch.keep(components(links, scratch))
 
     # buckets that still hold several components
-    placed = shared.join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    placed = shared.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("size"), F.sum("s").alias("sum")).filter("parts > 1")
     once = mixed.groupBy("size", "sum").agg(F.min(F.struct("key", F.col("m.component").alias("main"))).alias("k"))  # buckets of the same members count once
     once = once.select("k.key", "k.main", F.expr(f"cast(ceil(size / {BLOCK}.0) as int)").alias("blocks"))
     members = placed.join(once, "key")
-    home = members.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "doc", "n", "component")
+    home = members.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "doc", "component")
     # two members of different components are not both in the bucket's main one: the others go round its blocks
-    probes = members.filter("component <> main").select("key", F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(1).alias("kind"), "doc", "n", "component")
-    met = home.unionByName(probes).join(classes.select("doc", "cells"), "doc").select("key", "block", "kind", "doc", "n", "component", "cells")
-    crossed = met.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(_probed, "doc long, hub long").distinct()
+    probes = members.filter("component <> main").select("key", F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(1).alias("kind"), "doc", "component")
+    met = home.unionByName(probes).join(classes.select("doc", "n", "cells"), "doc").select("key", "block", "kind", "doc", "n", "component", "cells")
+    crossed = met.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(texts.trimmed(_probed), "doc long, hub long").distinct()
     crossed = scratch.keep(crossed.join(stars.select(F.least("doc", "hub").alias("doc"), F.greatest("doc", "hub").alias("hub")), ["doc", "hub"], "left_anti"))
     if not crossed.isEmpty():
-        more = scratch.keep(confirmed(_with_counts(crossed), sets))
+        more = scratch.keep(confirmed(crossed, sets))
         if not more.isEmpty():
             scratch.drop(found)
             found = scratch.keep(components(links.unionByName(more), scratch))
         scratch.drop(more)
-    scratch.drop(shared, stars, involved, sets, links, crossed)
+    scratch.drop(shared, hubs, stars, wanted, sets, links, crossed)
 
-    reached = classes.select("f1", "f2", "n", "doc").join(found, "doc", "left").select("f1", "f2", "n", F.coalesce("component", "doc").alias("component"))
+    least = scratch.keep(found.join(classes.select("doc", "id"), "doc").groupBy("component").agg(F.min("id").alias("least")))
+    named = found.join(least, "component").select("doc", "least")
+    reached = classes.select("f1", "f2", "n", "doc", "id").join(named, "doc", "left").select("f1", "f2", "n", F.coalesce("least", "id").alias("component"))
     out = slim.select("id", "n", "f1", "f2").join(reached, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.select("id", "n", "f1", "f2", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept (id = component_id) of every row of docs."""
+    out = _judged(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those that a smaller id stands for. Rows without an id stay.
 
-    Only rows whose id may be among the dropped ones are shuffled to meet them.
+    Only rows whose id may be among the dropped ones are shuffled to meet them, by id and set.
     """
     scratch = Scratch(docs.sparkSession)
-    judged = near_duplicates(docs, id_col, text_col)
-    gone = scratch.keep(judged.filter(f"NOT kept AND `{id_col}` IS NOT NULL").select(F.col(id_col).alias("_gone")).distinct())
-    admits = members_filter(gone, gone.count())
-    i = docs.columns.index(id_col)
+    names = texts.fresh(docs.columns, "id", "f1", "f2")
+    gone = scratch.keep(_judged(docs, id_col, text_col).filter("id IS NOT NULL AND NOT id <=> component").select("id", "f1", "f2").distinct().toDF(*names))
+    ids = gone.select(names[0]).distinct()
+    admits = members_filter(ids, ids.count())
+    i, j = docs.columns.index(id_col), docs.columns.index(text_col)
+    marked = S.StructType([*docs.schema.fields, *(S.StructField(x, S.LongType()) for x in names)])
 
     def where(inside: bool):
         def keep(batches):
-            for b in batches:
+            for b in texts.sub_batches(batches, text_col):
                 ids = b.column(i).cast(pa.int64())
-                hit = admits(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(hit if inside else ~hit))
+                hit = pa.array((admits(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)) == inside)
+                b = b.filter(hit)
+                if inside:
+                    marks = _marks(*shingle_sets(*texts.text_bytes(b.column(j))))
+                    b = pa.RecordBatch.from_arrays([*b.columns, ids.filter(hit), pa.array(marks[:, 0]), pa.array(marks[:, 1])], marked.names)
+                yield b
 
-        return keep
+        return texts.trimmed(keep)
 
-    hit = docs.mapInArrow(where(True), docs.schema)
-    return hit.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").unionByName(docs.mapInArrow(where(False), docs.schema))
+    hit = docs.mapInArrow(where(True), marked).join(gone, names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return hit.unionByName(docs.mapInArrow(where(False), docs.schema))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from tessella.llm import components, op1_minhash, op10_suffixes
+from tessella.llm import components, op1_minhash, op10_suffixes, texts
 from tessella.runtime import Scratch
 
 
@@ -41,6 +41,11 @@ def test_near_duplicates_odd_tables(spark, table):
     text = " ".join(f"w{i}" for i in range(30))
     got = sorted((r["doc_id"] is None, r["doc_id"], r["component_id"], r["kept"]) for r in op1_minhash.near_duplicates(table([(5, text), (5, text), (3, text), (None, "other words in a row here")])).collect())
     assert got == [(False, 3, 3, True), (False, 5, 3, False), (False, 5, 3, False), (True, None, None, True)]
+    near, apart = text + " w99", "quite another text of just seven words"
+    got = op1_minhash.near_duplicates(table([(5, text), (5, apart), (None, near), (None, "no one else has it at all"), (9, text + " w98 w97")])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 3, 0, True), (0, 27, 5, False), (5, 3, 5, True), (5, 26, 5, True), (9, 28, 5, False)]
+    kept = op1_minhash.without_near_duplicates(table([(3, text), (5, near), (5, apart), (None, near)])).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == [(0, near), (3, text), (5, apart)]
     kept = op1_minhash.without_near_duplicates(table([(5, text), (3, text), (None, text), (7, "x")])).collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 3, 7] and kept[0]["size"] == "z"
 
@@ -79,6 +84,25 @@ def test_components(spark):
     assert got == {x: c for x, c in top.items() if any(x in p and p[0] != p[1] for p in links)}
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: "b", 98: "a"})
+    return s
+
+
+def test_unlike_texts_of_one_polynomial_hash(spark, table):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2 ** 64; they are unlike texts."""
+    a = thue_morse(2048)
+    b = a.translate({97: "b", 98: "a"})
+    rows = [(1, a[:1024]), (2, b[:1024]), (3, a[:40]), (4, b[:40]), (5, f"x {a} y z w"), (6, f"x {b} y z w")]
+    got = {r["doc_id"]: r["component_id"] for r in op1_minhash.near_duplicates(table(rows)).collect()}
+    assert got == {d: d for d, _ in rows}
+    want = brute.repeats(rows)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in op10_suffixes.without_repeats(table(rows)).collect()}
+    assert got == {d: (x[1], brute.sha(x[3])) for d, x in want.items()}
+
+
 def passages(seed):
     r = random.Random(seed)
     word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
@@ -88,9 +112,11 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("many", [8192, 3])
-def test_repeats(spark, table, docs, odd, monkeypatch, many):
+@pytest.mark.parametrize(("many", "most", "wide"), [(8192, 1 << 22, 4096), (3, 1 << 22, 20), (8192, 2000, 50)])
+def test_repeats(spark, table, docs, odd, monkeypatch, many, most, wide):
     monkeypatch.setattr(op10_suffixes, "MANY", many)
+    monkeypatch.setattr(op10_suffixes, "MANY_BYTES", most)
+    monkeypatch.setattr(op10_suffixes, "WIDE", wide)
     monkeypatch.setattr(op10_suffixes, "BLOCK", 2000)
     rows = [*docs[:100], *odd, *((2000 + d, t) for d, t in passages(many))]
     want = brute.repeats(rows)
@@ -108,9 +134,37 @@ def test_repeats_in_a_long_text(spark, table, monkeypatch):
     assert got == {0: (0, 0), 1: (100_000, 1), 2: (0 if len(long[:99].encode()) < 100 else 100, 0 if len(long[:99].encode()) < 100 else 1)}
 
 
+def test_repeats_of_long_runs(spark, table):
+    """Lines and single bytes repeated far beyond a piece of text, and runs of all lengths around LENGTH."""
+    line = "a line of text that is printed over and over again\n"
+    rows = [(1, line * 20_000), (2, "v" + "z" * 300_000 + "a"), (3, "v" + "z" * 700 + "!"), (4, "b" + "z" * 1000 + "c" * 500 + "z" * 450)]
+    rows += [(10 + n, f"{n}-" + "q" * n + "e") for n in (99, 100, 101, 199, 200, 201, 399, 400, 401, 500)]
+    want = brute.repeats(rows)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in op10_suffixes.without_repeats(table(rows, 2)).collect()}
+    assert got == {d: (x[1], x[2], brute.sha(x[3])) for d, x in want.items()}
+
+
+def test_repeats_memory():
+    """Eight MiB of a repeated line, in segments of a piece each, take a small multiple of a segment."""
+    import tracemalloc
+
+    body = b"the same line again and again\n" * (texts.PIECE // 30)
+    tracemalloc.start()
+    for _ in range(3):
+        runs, again = op10_suffixes._new_in(body, len(body) - 99)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert runs == [(0, 30)] and again == [(30, len(body) - 99)] and peak < 128 * texts.PIECE
+
+
 def test_repeats_odd_tables(spark, table):
     assert op10_suffixes.without_repeats(table([])).collect() == []
     text, other = "q" + "0123456789" * 11, "r" + "abcdefghij" * 11
+    rows = [(None, "other nameless text " * 9), (None, "third nameless text " * 9)]
+    got = [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in op10_suffixes.without_repeats(table(rows)).collect()]
+    assert got == [brute.repeats([(1, rows[0][1])])[1][:3]] * 2
+    stripped = op10_suffixes.strip_repeats(table([(1, text), (2, text)]).withColumnsRenamed({"id": "doc", "rank": "mark", "key": "ranges", "n": "_doc"})).collect()
+    assert {r["doc_id"]: (r["text"], r["doc"], r["mark"], r["ranges"], r["_doc"]) for r in stripped} == {1: (brute.repeats([(1, text)])[1][3].decode(), 7, 8, "k", 9), 2: ("", 7, 8, "k", 9)}
     rows = [(1, text), (1, text), (2, other), (2, text + "!"), (None, text)]
     got = sorted((r["doc_id"] or 99, r["n_bytes"], r["n_removed"]) for r in op10_suffixes.without_repeats(table(rows)).collect())
     alone = brute.repeats([(1, text)])[1][1]

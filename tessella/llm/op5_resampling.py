@@ -1,19 +1,21 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (single tokens and neighbouring pairs): one of labelled good texts, one of the
-whole raw corpus. A text's log weight is the mean, over its n-grams and PRIOR more of ratio 1, of the log ratio of the two models
-(a mean, so that texts are not drawn or rejected for their length); texts are then drawn without replacement with
-probabilities that follow their weights, by Gumbel top-k: log weight / TEMPERATURE plus Gumbel noise that is a function
-of the id, the k greatest kept. By default k is the number of texts whose log weight is at least LINE, about as likely
-under the target model as under the raw one, so the draw decides only among texts near that line.
+whole raw corpus. A text's log weight is the log ratio of its probabilities under the two, the sum over its n-grams of
+log target / raw, plus LASTING for each, the log ratio of the odds that a text of either model goes on (so a text is not
+rejected for its length, as labelled texts are). Texts are then drawn without replacement with probabilities that follow
+their weights, by Gumbel top-k: log weight / TEMPERATURE plus Gumbel noise that is a function of the id, the k greatest
+kept. k is a parameter; by default it is the number of texts that are at least as likely under the target model as under
+the raw one. Long texts have weights far from 1, so that noise decides among short and undecided ones.
 
 Tokens are runs of ASCII punctuation or of anything else but white space. The raw counts cover every text; the target
 model is fitted on at most LABELLED labelled rows (those of least id hash), a bound that also bounds what is broadcast:
 two arrays of BUCKETS numbers and the labelled ids. Counts are added up in tasks and merged in groups, never by text.
 
 Edge cases: null or empty texts have no n-grams, weight 0, and are not kept; without labelled rows every text with a
-token is kept; ids labelled twice count as good only if every label says so; null ids take part, repeated rows are
-judged alike; equal scores go to the smaller id; an empty table gives no rows; other columns are not read.
+token is kept; ids labelled twice count as good only if every label says so; null ids take part, rows that repeat an id
+share its noise, those that repeat its text too are judged alike, kept or not; other equal scores go to the smaller id; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from tessella.llm import texts
 from tessella.llm.ranks import ranked
 
 BUCKETS, LABELLED, SEED = 1 << 17, 20_000, 11
-PRIOR, LINE, TEMPERATURE = 16, -0.06, 0.002
+LASTING, TEMPERATURE = 0.06, 1.0
 #: Counts by which the target model leans on the raw one.
 SHRINK = 32.0
 #: Groups in which tasks' counts are merged before they reach the driver.
@@ -39,7 +41,6 @@ def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     kind = np.full(256, 2, np.uint8)
     kind[[32, *range(9, 14)]] = 0
     kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
-    values = texts._tables()["values"]
     hashes, starts_all = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     edges = np.zeros(len(raw) + 1, bool)
     edges[offsets] = True
@@ -48,9 +49,7 @@ def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         k = np.concatenate([[0], kind[piece], [0]])
         change = (k[1:] != k[:-1]) | edges[start : end + 1]
         at, to = np.flatnonzero(change & (k[1:] != 0)), np.flatnonzero(change & (k[:-1] != 0))
-        up, down = texts._powers(len(piece))
-        prefix = texts._prefix(values[piece], up)
-        hashes.append(texts.mix((prefix[to] - prefix[at]) * down[at]))
+        hashes.append(texts.span_hashes(piece, at, to))
         starts_all.append(at + start)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), offsets)
 
@@ -103,7 +102,7 @@ def log_ratios(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS) -> np.
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()) for s in sums], ["raw", "good"])
 
     schema = "raw binary, good binary"
-    parts = docs.mapInArrow(count, schema).repartition(GROUPS).mapInArrow(add, schema).collect()  # GROUPS rows
+    parts = docs.mapInArrow(texts.trimmed(count), schema).repartition(GROUPS).mapInArrow(add, schema).collect()  # GROUPS rows
     raw_n, good_n = (sum((np.frombuffer(p[c], np.int64) for p in parts), np.zeros(buckets, np.int64)) for c in ("raw", "good"))
     if not good_n.any():
         return np.zeros(buckets)
@@ -116,13 +115,13 @@ def _scores(b: pa.RecordBatch, ratios: np.ndarray, temperature: float, seed: int
     """n-grams, log weight and score (with the Gumbel noise of the id) of a batch's (id, text) rows."""
     grams, at = ngram_buckets(*texts.text_bytes(b.column(1)), len(ratios))
     n = np.diff(at)
-    mean = np.zeros(len(n))
+    weight = np.zeros(len(n))
     full = np.flatnonzero(n)
     if len(full):
-        mean[full] = np.add.reduceat(ratios[grams], at[full]) / (n[full] + PRIOR)
+        weight[full] = np.add.reduceat(ratios[grams], at[full]) + LASTING * n[full]
     ids = b.column(0).fill_null(-1).to_numpy().astype(np.int64)
     u = (texts.mix(ids.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64)
-    return n, mean, mean / temperature - np.log(-np.log((u + 0.5) / (1 << 53)))
+    return n, weight, weight / temperature - np.log(-np.log((u + 0.5) / (1 << 53)))
 
 
 def weighted(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -133,45 +132,51 @@ def weighted(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATU
         for b in texts.sub_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, _scores(b, shared.value, temperature, seed))], ["id", "n_grams", "log_weight", "score"])
 
-    return docs.mapInArrow(weigh, "id long, n_grams long, log_weight double, score double")
+    return docs.mapInArrow(texts.trimmed(weigh), "id long, n_grams long, log_weight double, score double")
 
 
 def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, id_col: str, text_col: str):
-    """The ranked scores of every text, k, and the log ratios."""
+    """The ranked scores of every text, with ``kept``, and (score, id) of the last kept one, the log ratios."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ratios = log_ratios(plain, labelled_ids(labels))
     scored = weighted(plain, ratios).withColumn("_less", F.when(F.col("n_grams") > 0, -F.col("score")).otherwise(F.lit(float("inf"))))
     placed, _ = ranked(scored, ["_less", "id"], "rank")
     if k is None:
-        k = placed.agg(F.count_if((F.col("n_grams") > 0) & (F.col("log_weight") >= LINE))).first()[0]
-    return placed, k, ratios
+        k = placed.agg(F.count_if((F.col("n_grams") > 0) & (F.col("log_weight") >= 0))).first()[0]
+    last = placed.filter((F.col("rank") < k) & (F.col("n_grams") > 0)).agg(F.max(F.struct("rank", "score", "id"))).first()[0]
+    if last is None:
+        return placed.withColumn("kept", F.lit(False)), None, ratios
+    score, at = last["score"], last["id"]
+    before = F.col("id").isNull() if at is None else F.col("id").isNull() | (F.col("id") <= at)  # nulls sort first
+    kept = (F.col("n_grams") > 0) & ((F.col("score") > score) | (F.col("score") == score) & before)
+    return placed.withColumn("kept", kept), (score, at), ratios
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_grams, log_weight, score, rank and kept of every row; the k greatest scores of texts with tokens are kept."""
-    placed, k, _ = _drawn(docs, labels, k, id_col, text_col)
-    kept = (F.col("rank") < k) & (F.col("n_grams") > 0)
-    return placed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "score", "rank", kept.alias("kept"))
+    """id, n_grams, log_weight, score, rank and kept of every row; the k greatest scores of texts with tokens are kept, and
+    rows that repeat the id and the score of the last of them."""
+    placed, _, _ = _drawn(docs, labels, k, id_col, text_col)
+    return placed.select(F.col("id").alias(id_col), "n_grams", "log_weight", "score", "rank", "kept")
 
 
 def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that ``resample`` keeps, all columns. Texts are not shuffled: the k-th score is the line."""
-    placed, k, ratios = _drawn(docs, labels, k, id_col, text_col)
-    last = placed.filter((F.col("rank") < k) & (F.col("n_grams") > 0)).agg(F.max(F.struct("rank", "score", "id"))).first()[0]
+    _, last, ratios = _drawn(docs, labels, k, id_col, text_col)
     if last is None:
         return docs.limit(0)
-    score, at = last["score"], last["id"]
+    score, at = last
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     i, j = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def keep(batches):
         for b in texts.sub_batches(batches, text_col):
-            n, _, got = _scores(pa.RecordBatch.from_arrays([b.column(i).cast(pa.int64()), b.column(j)], ["id", "text"]), shared.value, TEMPERATURE, SEED)
             ids = b.column(i).cast(pa.int64())
-            low = ids.is_null().to_numpy(zero_copy_only=False) | (ids.fill_null(0).to_numpy() <= (at if at is not None else -(1 << 63)))  # nulls sort first
-            yield b.filter(pa.array((n > 0) & ((got > score) | (got == score) & low)))
+            n, _, got = _scores(pa.RecordBatch.from_arrays([ids, b.column(j)], ["id", "text"]), shared.value, TEMPERATURE, SEED)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            before = null if at is None else null | (ids.fill_null(0).to_numpy() <= at)
+            yield b.filter(pa.array((n > 0) & ((got > score) | (got == score) & before)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(texts.trimmed(keep), docs.schema)
 
 
 def op5_importance_resampling(spark, sf_dir: str) -> DataFrame:

@@ -5,18 +5,21 @@ pieces have each length: the plan is made from that histogram (at most as many r
 corpus), handling equal bins and equal pieces together, and gives the same bins as placing the pieces one by one. The
 rows then find their place in the plan by their rank, so no bin, length or text is ever gathered in one task.
 
-All permitted lengths are optimised together: when no open bin takes a piece, the bin size of least cost per token
-among those that fit is opened (``cost``: a fixed part, a linear part and attention's square); at the end each bin is
-downsized to the smallest permitted length that holds its contents.
+All permitted lengths are optimised together: when no open bin takes a piece, every size that holds it is tried with the
+lengths that occur, from this one down (as many of this one as fit, then the longest that still fits, and so on), and
+the size that costs least for each token so put in is opened (``cost``: a fixed part, a linear part and attention's
+square; equal ones go to the smaller). Pieces then go to the bin of least room that takes them, of equal ones to the
+smaller size and the older bin. At the end each bin is downsized to the smallest permitted length that holds its
+contents, as a bin opened for several pieces may not have got them. ``totals`` says what a packing costs.
 
 Edge cases: a text longer than the largest length is split into pieces of it and a rest; a text without tokens (null,
 empty, white space) gets one row of length 0 without a bin; equal ids are separate rows; an empty table gives no rows;
-other columns of the input are not read.
+other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +33,7 @@ from tessella.llm.ranks import ranked
 LENGTHS = (512, 1024, 2048, 4096)
 
 
-def cost(length: int, fixed: float = 32.0, square: float = 16384.0) -> float:
+def cost(length: int, fixed: float = 192.0, square: float = 16384.0) -> float:
     """Cost of one sequence of a length, in tokens: start-up, tokens, attention."""
     return fixed + length + length * length / square
 
@@ -47,13 +50,27 @@ class Plan(NamedTuple):
     size: np.ndarray
 
 
+def opened(piece: int, lengths: list[int], sizes: list[int]) -> int:
+    """The bin size to open for a piece; lengths: those that occur, sorted."""
+    best = None
+    for size in sizes:
+        if size >= piece:
+            room, low = size % piece, bisect_left(lengths, piece)
+            while room and (low := bisect_right(lengths, room, 0, low)):
+                room %= lengths[low - 1]
+            share = cost(size) / (size - room)
+            if best is None or share < best[0]:
+                best = share, size
+    return best[1]
+
+
 def make_plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS) -> Plan:
     """Best-fit-decreasing of counts[l] pieces of each length l > 0. Ranks are by length, ascending."""
-    sizes = sorted(lengths)
+    sizes, known = sorted(lengths), sorted(counts)
     start, total = {}, 0
-    for l in sorted(counts):
+    for l in known:
         start[l], total = total, total + counts[l]
-    open_bins: dict[int, list[tuple[int, int, int]]] = {}  # room -> (first bin, bins, size)
+    open_bins: dict[int, list[tuple[int, int, int]]] = {}  # room -> sorted (size, first bin, bins)
     rooms: list[int] = []
     places, done, bins = [], [], 0
 
@@ -66,7 +83,7 @@ def make_plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS) -> Pla
         if room not in open_bins:
             open_bins[room] = []
             insort(rooms, room)
-        open_bins[room].append((first, n, size))
+        insort(open_bins[room], (size, first, n))
 
     for l in sorted(counts, reverse=True):
         left, rank = counts[l], start[l]
@@ -74,11 +91,11 @@ def make_plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS) -> Pla
             i = bisect_left(rooms, l)
             if i < len(rooms):
                 room = rooms[i]
-                first, n, size = open_bins[room].pop()
+                size, first, n = open_bins[room].pop(0)
                 if not open_bins[room]:
                     del open_bins[room], rooms[i]
             else:
-                size = min((s for s in sizes if s >= l), key=lambda s: (cost(s) / s, s))
+                size = opened(l, known, sizes)
                 room, first, n = size, bins, -(-left // (size // l))
                 bins += n
             each = room // l
@@ -93,7 +110,7 @@ def make_plan(counts: dict[int, int], lengths: tuple[int, ...] = LENGTHS) -> Pla
                 left, full = 0, full + 1
             put(room, first + full, n - full, size)
     for room, groups in open_bins.items():
-        done.extend((first, n, size, room) for first, n, size in groups)
+        done.extend((first, n, size, room) for size, first, n in groups)
     done.sort()
     places.sort()
     cols = np.array(places, np.int64).reshape(-1, 5)
@@ -106,12 +123,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id and ``n_tokens``: words of the whole text."""
 
     def count(batches):
-        for b in batches:
+        for b in texts.sub_batches(batches):
             n = texts.word_counts(*texts.text_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64))], ["id", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(texts.trimmed(count), f"id {kind}, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
@@ -121,10 +138,10 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "do
     """
     top = max(lengths)
     n = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
-    whole = sizes.select(F.col(id_col), n.alias("_n"))
-    piece = F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(_n - 1) div {top}"), F.lit(0)).cast("int"))).alias("piece")
-    pieces = whole.select(id_col, "_n", piece).select(id_col, "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.col("_n") - F.col("piece").cast("long") * top, F.lit(top)).cast("int").alias("length"))
-    placed, _ = ranked(pieces, ["length", id_col, "piece"], "_rank")
+    whole = sizes.select(F.col(id_col).alias("id"), n.alias("n"))
+    piece = F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n - 1) div {top}"), F.lit(0)).cast("int"))).alias("piece")
+    pieces = whole.select("id", "n", piece).select("id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.col("n") - F.col("piece").cast("long") * top, F.lit(top)).cast("int").alias("length"))
+    placed, _ = ranked(pieces, ["length", "id", "piece"], "rank")
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most top + 1 rows
     empty = counts.pop(0, 0)
     plan = make_plan(counts, lengths)
@@ -146,10 +163,18 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "do
             made = [pa.array(x.astype(t), mask=none) for x, t in ((bin_id, np.int64), (size, np.int32), (offset, np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *made], ["id", "piece", "start", "length", "bin_id", "capacity", "bin_offset"])
 
-    out = placed.withColumnRenamed(id_col, "id").mapInArrow(place, f"id {kind}, piece int, start long, length int, bin_id long, capacity int, bin_offset int")
+    out = placed.mapInArrow(texts.trimmed(place), f"id {kind}, piece int, start long, length int, bin_id long, capacity int, bin_offset int")
     return out.withColumnRenamed("id", id_col)
 
 
+def totals(packed: DataFrame) -> DataFrame:
+    """One row: bins, tokens, capacity, fill (tokens a place) and cost of a packing."""
+    bins = packed.filter("bin_id IS NOT NULL").groupBy("bin_id", "capacity").agg(F.sum("length").alias("tokens"))
+    each = cost(0) + F.col("capacity") + F.col("capacity").cast("double") * F.col("capacity") * (cost(1) - cost(0) - 1)
+    out = bins.agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.sum("capacity").alias("capacity"), F.sum(each).alias("cost"))
+    return out.select("bins", "tokens", "capacity", (F.col("tokens") / F.col("capacity")).alias("fill"), "cost")
+
+
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents, by words, in sequences of 512 to 4096 tokens."""
     return pack(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))

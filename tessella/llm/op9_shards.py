@@ -1,19 +1,24 @@
 """Sharding along a Hilbert curve: metadata are quantised, rows sorted by curve index, and runs of the order cut.
 
 Rows that are near each other in every dimension get near indices, so each shard covers a small box of each dimension
-and a reader can skip shards by any of them. The law is ``rows``: shard sizes differ by one row at most. Ties of the
-index are broken by id and then by the text's checksum, so one hot cell spreads over as many shards as it fills.
+and a reader can skip shards by any of them (``shard_bounds`` has the boxes). A value's cell is its rank's share of all
+rows, so each dimension fills its whole axis, however few values it has: four equal languages stand a quarter of the axis
+apart. The law is ``rows``: shard sizes differ by one row at most. Ties of the index are broken by id and then by the
+text's checksum, so one hot cell spreads over as many shards as it fills.
 
 Edge cases: null text counts as empty; null metadata take the lowest cell; equal rows are separate rows; with fewer
-rows than shards the last shards stay empty; an empty table gives no rows; other columns of the input are not read.
+rows than shards the last shards stay empty; an empty table gives no rows; other columns of the input are not read,
+whatever their names (``write_shards`` writes them all).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.ranks import ranked
+from tessella.llm.texts import fresh
+from tessella.runtime import Scratch
 
 #: Bits a dimension; the curve's table then has 2 ** (BITS * dimensions) cells.
 BITS = 4
@@ -66,51 +71,93 @@ def _direction(w: int, dims: int) -> int:
     return 0 if w == 0 else _trailing_ones(w - 1 if w % 2 == 0 else w) % dims
 
 
-def _number(col: str, kind: str) -> Column:
-    """A metadata column as a double in its own order; a string by its first six bytes past the digits' padding."""
+def _value(col: str, kind: str) -> Column:
+    """A metadata column as a string or a double, without nulls."""
     if kind == "string":
-        padded = F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"(\d+)", "00$1")
-        padded = F.regexp_replace(padded, r"0*(\d{3})", "$1")
-        return F.conv(F.hex(F.rpad(F.substring(padded, 1, 6).cast("binary"), 6, b"\x00")), 16, 10).cast("double")
-    return F.coalesce(F.col(col).cast("double"), F.lit(float("-inf")))
+        return F.coalesce(F.col(f"`{col}`"), F.lit(""))
+    return F.coalesce(F.col(f"`{col}`").cast("double"), F.lit(float("-inf")))
 
 
-def _quantised(df: DataFrame, names: list[str], bits: int) -> list[Column]:
-    """Each number's cell, 0 to 2 ** bits - 1, by equi-depth bounds over all rows (2 ** bits - 1 numbers a column)."""
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    bounds = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in names]).first()
-    out = []
+def _string_cells(df: DataFrame, name: str, cells: int, scratch: Scratch) -> list[tuple[str, int]]:
+    """(least value, cell) of each cell that has one, by the exact rank of every value; at most ``cells`` of them.
+
+    Values are counted, and the counts added up along range partitions, so that many values are no one's burden.
+    """
+    counts = scratch.keep(df.groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n")))
+    kept = scratch.keep(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    base, total = {}, 0
+    for r in kept.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():  # one row a partition
+        base[r["p"]], total = total, total + r["n"]
+    if not total:
+        return []
+    before = F.element_at(F.lit([base.get(i, 0) for i in range(max(base) + 1)]), F.col("p") + 1) + F.sum("n").over(Window.partitionBy("p").orderBy("v")) - F.col("n")
+    got = kept.select("v", F.floor(before * cells / total).alias("cell")).groupBy("cell").agg(F.min("v").alias("v")).orderBy("v").collect()
+    scratch.drop(counts, kept)
+    return [(r["v"], r["cell"]) for r in got]
+
+
+def _cells(df: DataFrame, names: list[str], bits: int, scratch: Scratch) -> list[Column]:
+    """Each value's cell, 0 to 2 ** bits - 1, as expressions with bounds over all rows in them."""
+    cells, kinds, out = 1 << bits, dict(df.dtypes), []
+    numbers = [c for c in names if kinds[c] == "double"]
+    shares = [i / cells for i in range(1, cells)]
+    cuts = df.agg(F.lit(0), *[F.percentile_approx(c, shares, 10_000).alias(c) for c in numbers]).first()
     for c in names:
-        cuts = sorted(set(bounds[c] or []))
         cell = F.lit(0)
-        for b in cuts:
-            cell += F.when(F.col(c) > b, 1).otherwise(0)
-        out.append(cell)
+        if kinds[c] == "double":
+            for x in cuts[c] or []:
+                cell += F.when(F.col(c) > x, 1).otherwise(0)
+        else:
+            for x, at in _string_cells(df, c, cells, scratch):
+                cell = F.when(F.col(c) >= x, at).otherwise(cell)
+        out.append(cell.cast("int"))
     return out
 
 
-def hilbert_shards(docs: DataFrame, dims: tuple[str, ...], shards: int, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """id, size, text_crc32, curve index, shard and slot of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = dict(docs.dtypes)
-    names = [f"_d{i}" for i in range(len(dims))]
-    slim = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"), *[_number(d, kinds[d]).alias(n) for d, n in zip(dims, names, strict=True)])
-    slim = slim.select(id_col, (F.col("_bytes") + 16).alias("size"), "text_crc32", *names)
+def _curve(slim: DataFrame, names: list[str], bits: int, scratch: Scratch) -> Column:
     cell = F.lit(0)
-    for q in _quantised(slim, names, bits):
+    for q in _cells(slim, names, bits, scratch):
         cell = cell * (1 << bits) + q
-    curve = F.element_at(F.lit(hilbert_table(bits, len(dims))), cell.cast("int") + 1)
-    placed, n = ranked(slim.select(id_col, "size", "text_crc32", curve.cast("int").alias("curve")), ["curve", id_col, "text_crc32"], "rank")
-    shard = F.expr(f"cast(rank * {shards} div {max(n, 1)} as int)")
+    return F.element_at(F.lit(hilbert_table(bits, len(names))), cell.cast("int") + 1).cast("int")
+
+
+def _shard_of(n: int, shards: int, rank: str = "rank") -> Column:
+    return F.expr(f"cast({rank} * {shards} div {max(n, 1)} as int)")
+
+
+def hilbert_shards(docs: DataFrame, dims: tuple[str, ...], shards: int, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """id, size, text_crc32, curve index, shard and slot of every row."""
+    scratch, text, kinds = Scratch(docs.sparkSession), F.coalesce(F.col(text_col), F.lit("")), dict(docs.dtypes)
+    names = [f"d{i}" for i in range(len(dims))]
+    size = (F.octet_length(text).cast("long") + 16).alias("size")
+    slim = scratch.keep(docs.select(F.col(id_col).alias("id"), size, F.crc32(text.cast("binary")).alias("text_crc32"), *[_value(d, kinds[d]).alias(n) for d, n in zip(dims, names, strict=True)]))
+    curve = _curve(slim, names, bits, scratch)
+    placed, n = ranked(slim.select("id", "size", "text_crc32", curve.alias("curve")), ["curve", "id", "text_crc32"], "rank", scratch, read=True)
     first = F.expr(f"cast((cast(shard as bigint) * {n} + {shards - 1}) div {shards} as bigint)")  # the shard's lowest rank
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
+    return placed.withColumn("shard", _shard_of(n, shards)).withColumn("slot", F.col("rank") - first).withColumnRenamed("id", id_col)
+
 
+def write_shards(docs: DataFrame, dims: tuple[str, ...], shards: int, path: str, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> str:
+    """All rows and columns of docs as Parquet, a folder per shard, in the order of ``hilbert_shards``; returns the name of
+    the folders' column (``shard``, or one that clashes with none of docs').
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Rows of docs as Parquet, a folder per shard, in slot order; ids must be unique. Python is not involved."""
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = docs.join(shards.select(id_col, "shard", "slot"), id_col)
-    placed.repartitionByRange(int(n), "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    The rows themselves are ranked, so that ids may be null or repeat. Python is not involved.
+    """
+    scratch, kinds = Scratch(docs.sparkSession), dict(docs.dtypes)
+    curve, crc, rank, shard, *names = fresh(docs.columns, "curve", "crc", "rank", "shard", *[f"d{i}" for i in range(len(dims))])
+    valued = docs.select("*", *[_value(d, kinds[d]).alias(n) for d, n in zip(dims, names, strict=True)])
+    index = _curve(valued.select(*names), names, bits, scratch)
+    rows = valued.select("*", index.alias(curve), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias(crc)).drop(*names)
+    placed, n = ranked(rows, [curve, id_col, crc], rank, scratch, read=True)
+    placed.withColumn(shard, _shard_of(n, shards, f"`{rank}`")).drop(curve, crc, rank).write.partitionBy(shard).parquet(path)
+    scratch.drop(placed)
+    return shard
+
+
+def shard_bounds(docs: DataFrame, placed: DataFrame, dims: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """(shard, rows, least and greatest value of each dimension): what a reader skips shards by. Ids must be unique."""
+    both = docs.select(F.col(id_col), *dims).join(placed.select(F.col(id_col), F.col("shard").alias("_shard")), id_col)
+    return both.groupBy(F.col("_shard").alias("shard")).agg(F.count("*").alias("rows"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))])
 
 
 def op9_hilbert_shards(spark, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ scored in full. The threshold is the score of a row that would stand at the curr
 row can exceed. The search of a block stops when the threshold is below the k-th best score so far, taken over all blocks
 that the task has read: the bound is strict, so ties are all seen and go to the smaller id.
 
-A query's blocks are met in runs: (query block, row block) pairs are dealt over tasks in GROUPS runs a query block, and
-the k best of each run are merged by a window per query, at most GROUPS * k rows each. The number of runs follows the
-number of row blocks, so neither side is ever held whole; queries and rows are both read in blocks of fixed size.
+A block's lists are sorted once, where it is packed, and travel with it. A query's blocks are met in runs: (query block,
+row block) pairs are dealt over tasks, at most RUN row blocks a run, and the k best of each run are merged by a window per
+query. The number of runs follows the number of row blocks, so neither side is ever held whole; queries and rows are both
+read in blocks of fixed size, and a row block travels once for QUERIES queries.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; components become
 floor(scale * x); vectors of other lengths count missing dimensions as 0; scores are exact whole numbers: where float64
@@ -24,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.texts import trimmed
 from tessella.runtime import Scratch
 
 K, SCALE = 10, 1024
 #: Rows of a block, queries of a block, row blocks of a run, ranks of the first round.
-ROWS, QUERIES, RUN, DEPTH = 8192, 64, 16, 64
+ROWS, QUERIES, RUN, DEPTH = 8192, 4096, 16, 64
+#: Runs that a query block has at least, if there are as many row blocks: tasks to work on.
+RUNS = 64
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -36,20 +40,24 @@ def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataF
     v = F.transform(vec_col, lambda x: x.cast("double"))
     ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)
     bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    floor = F.transform(v, lambda x: F.rint(x * scale - F.pmod(x * scale, F.lit(1.0))))
+    whole = 2.0**52  # from here on doubles are whole numbers
+    floor = F.transform(v, lambda x: F.when(F.abs(x * scale) < whole, F.floor(x * scale).cast("double")).otherwise(x * scale))
     return df.filter(ok & ~F.coalesce(bad, F.lit(True))).select(F.col(id_col).cast("long").alias("vec_id"), floor.alias("v"))
 
 
-def _packed(batches):
-    """(block, vec_id, vec as bytes) rows of a block, to one row (block, n, dim, ids, matrix as bytes)."""
-    run, ids, vecs = None, [], []
+def _packed(batches, k: int):
+    """(block, vec_id, vec) rows sorted by block and id, to one row a block (block, dim, ids, matrix, sorted) of bytes; sorted:
+    the numbers of the block's rows in the order of each component. k: of rows equal in all, so many are kept, as more
+    cannot be among the k best; 0 for queries, which need no lists."""
+    run, ids, vecs, same = None, [], [], {}
 
     def out():
         dim = max(map(len, vecs))
         m = np.zeros((len(vecs), dim))
         for i, v in enumerate(vecs):
             m[i, : len(v)] = v
-        return pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["block", "dim", "ids", "matrix"])
+        order = np.argsort(m, axis=0, kind="stable").astype(np.uint32).tobytes() if k else b""
+        return pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), m.tobytes(), order))], ["block", "dim", "ids", "matrix", "sorted"])
 
     for b in batches:
         column = b.column(2)
@@ -60,25 +68,33 @@ def _packed(batches):
                 if vecs:
                     yield out()
                 run, ids, vecs = block, [], []
-            ids.append(vec_id)
-            vecs.append(flat[at[i] : at[i + 1]].copy())
+            vec = flat[at[i] : at[i + 1]].copy()
+            if not ids or vec_id != ids[-1]:
+                same = {}
+            same[raw] = n = same.get(raw := vec.tobytes(), 0) + 1
+            if n <= max(k, 1):
+                ids.append(vec_id)
+                vecs.append(vec)
     if vecs:
         yield out()
 
 
-def blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
+def blocks(rows: DataFrame, size: int, n: int, k: int) -> DataFrame:
     """Rows (vec_id, v) packed into about n / size blocks by a hash of the id and vector: equal shares, whatever the ids."""
     count = max(1, -(-n // size))
+
+    def pack(batches):
+        return _packed(batches, k)
+
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).alias("block"), "vec_id", "v")
-    return dealt.repartition(min(count, 4096), "block").sortWithinPartitions("block", "vec_id").mapInArrow(_packed, "block long, dim int, ids binary, matrix binary")
+    return dealt.repartition(min(count, 4096), "block").sortWithinPartitions("block", "vec_id").mapInArrow(pack, "block long, dim int, ids binary, matrix binary, sorted binary")
 
 
 class Lists:
     """A block of rows with its rows sorted by each dimension."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray):
-        self.ids, self.m = ids, m
-        self.order = np.argsort(m, axis=0, kind="stable")
+    def __init__(self, ids: np.ndarray, m: np.ndarray, order: np.ndarray):
+        self.ids, self.m, self.order = ids, m, order
         self.sorted = np.take_along_axis(m, self.order, axis=0)
         self.most = np.abs(m).max(axis=0)
 
@@ -98,8 +114,9 @@ class Lists:
             end = min(n, depth + step)
             ranks = np.arange(depth, end)
             at = np.where(up, n - 1 - ranks[:, None], ranks[:, None])
-            rows = np.unique(self.order[at, used]) if len(used) else np.arange(n)
-            new = rows[~seen[rows]]
+            fresh = np.zeros(n, bool)
+            fresh[self.order[at, used].ravel() if len(used) else slice(None)] = True
+            new = np.flatnonzero(fresh & ~seen)
             seen[new] = True
             scores = self.m[new] @ q
             if len(best) == k:
@@ -119,7 +136,7 @@ class Lists:
 
 def _search(k: int):
     def run(batches):
-        """Rows (query block, run, kind, block, dim, ids, matrix) sorted so, queries (kind 0) first."""
+        """Rows (query block, run, kind, block, dim, ids, matrix, sorted) sorted so, queries (kind 0) first."""
         key, queries, best = None, [], []
 
         def out():
@@ -128,7 +145,8 @@ def _search(k: int):
             return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([(key[0] << 20) + x for x in no], pa.int64()), pa.array(s, pa.int64()), pa.array(i, pa.int64())], ["query_id", "query", "score", "vec_id"])
 
         for b in batches:
-            for qb, part, kind, _, dim, ids, matrix in zip(*(b.column(c).to_pylist() for c in range(7)), strict=True):
+            for i in range(b.num_rows):
+                qb, part, kind, _, dim, ids, matrix, order = (b.column(c)[i].as_py() for c in range(8))
                 ids = np.frombuffer(ids, np.int64)
                 m = np.frombuffer(matrix, np.float64).reshape(len(ids), dim)
                 if (qb, part) != key:
@@ -139,7 +157,7 @@ def _search(k: int):
                     queries = list(zip(ids.tolist(), m, strict=True))
                     best = [[] for _ in queries]
                 else:
-                    lists = Lists(ids, m)
+                    lists = Lists(ids, m, np.frombuffer(order, np.uint32).reshape(m.shape).astype(np.int64))
                     for n, (qid, q) in enumerate(queries):
                         best[n] = lists.search(qid, q, k, best[n])
         if queries:
@@ -154,15 +172,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     rows = whole_vectors(vectors, id_col, vec_col, scale)
     asked = whole_vectors(queries, id_col, vec_col, scale).distinct()
     n, n_asked = rows.count(), asked.count()
-    row_blocks = scratch.keep(blocks(rows, ROWS, n))
-    query_blocks = scratch.keep(blocks(asked, QUERIES, n_asked))
-    runs, asks = max(1, -(-(-(-n // ROWS)) // RUN)), max(1, -(-n_asked // QUERIES))
+    row_blocks = scratch.keep(blocks(rows, ROWS, n, k))
+    query_blocks = scratch.keep(blocks(asked, QUERIES, n_asked, 0))
+    parts, asks = max(1, -(-n // ROWS)), max(1, -(-n_asked // QUERIES))
+    runs = max(min(parts, RUNS), -(-parts // RUN))
     each = F.expr(f"explode(sequence(0L, {runs - 1}L))")
-    left = query_blocks.select(F.col("block").alias("qb"), each.alias("part"), F.lit(0).alias("kind"), "block", "dim", "ids", "matrix")
+    left = query_blocks.select(F.col("block").alias("qb"), each.alias("part"), F.lit(0).alias("kind"), "block", "dim", "ids", "matrix", "sorted")
     every = F.expr(f"explode(sequence(0L, {asks - 1}L))")
-    right = row_blocks.select(every.alias("qb"), F.pmod("block", F.lit(runs)).cast("long").alias("part"), F.lit(1).alias("kind"), "block", "dim", "ids", "matrix")
+    right = row_blocks.select(every.alias("qb"), F.pmod("block", F.lit(runs)).cast("long").alias("part"), F.lit(1).alias("kind"), "block", "dim", "ids", "matrix", "sorted")
     met = left.unionByName(right).repartition(min(runs * asks, 100_000), "qb", "part").sortWithinPartitions("qb", "part", "kind", "block")
-    found = met.mapInArrow(_search(k), "query_id long, query long, score long, vec_id long")
+    found = met.mapInArrow(trimmed(_search(k)), "query_id long, query long, score long, vec_id long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -6,7 +7,10 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.llm import op4_topk, op6_packing, op9_shards
+from tessella.runtime import Scratch
 
 
 def plain_topk(rows, k=10):
@@ -24,12 +28,15 @@ def test_topk(spark, monkeypatch, sizes):
         monkeypatch.setattr(op4_topk, name, value)
     r = random.Random(2)
     rows = [(i, [r.randint(-3, 3) / 1024 for _ in range(5)]) for i in range(700)]
-    rows += [(100, [0.0] * 5), (801, None), (900, [float("nan")] * 5), (1000, [1.0, None]), (1100, []), (1200, [-0.0005, 0.3]), (1300, [1e12] * 5), (None, [1.0]), (7, [0.002] * 5), (7, [0.002] * 5)]
+    rows += [(100, [0.0] * 5), (801, None), (900, [float("nan")] * 5), (1000, [1.0, None]), (1100, []), (1200, [-0.0005, 0.3]), (1400, [-1e-20, 1e-20, -0.0, 3e-39, -3e-39]), (1500, [-5e-20] * 5), (11, [-1e-20] * 5), (12, [0.0, -0.0] * 2), (1300, [1e12] * 5), (None, [1.0]), (7, [0.002] * 5), (7, [0.002] * 5)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, score int, rank string")
     got = sorted(map(tuple, op4_topk.top_k(df, df.filter("vec_id % 100 = 0")).collect()))
     assert got == plain_topk(rows)
     empty = df.limit(0)
     assert op4_topk.top_k(empty, empty).collect() == []
+    copies = spark.createDataFrame([(i % 3 * 50, [1.0, 2.0]) for i in range(90)], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, op4_topk.top_k(copies, copies.filter("vec_id % 100 = 0")).collect()))
+    assert got == plain_topk([(i % 3 * 50, [1.0, 2.0]) for i in range(90)])
     few = df.filter("vec_id in (200, 201)")
     assert op4_topk.top_k(few, few.filter("vec_id = 200")).count() == 1
 
@@ -39,7 +46,7 @@ def test_search_stops_early():
     r = np.random.default_rng(0)
     m = np.floor(r.normal(size=(4000, 3)) * 10)
     m[:20] += 500
-    lists = op4_topk.Lists(np.arange(4000), m)
+    lists = op4_topk.Lists(np.arange(4000), m, np.argsort(m, axis=0, kind="stable"))
     read, order = [], lists.order
 
     class Watched:
@@ -54,46 +61,64 @@ def test_search_stops_early():
 
 
 def plain_packing(counts, lengths):
+    """Bins (size, pieces), pieces placed one by one, longest first."""
+    def cost(x):
+        return 192 + x + x * x / 16384
+
+    def filled(size, piece):
+        room, put = size, 0
+        for x in sorted((x for x in counts if x <= piece), reverse=True):
+            while room >= x:
+                room, put = room - x, put + x
+        return put
+
     bins = []
-    for size in sorted(counts, reverse=True):
-        for _ in range(counts[size]):
-            fits = [b for b in bins if b[0] >= size]
+    for piece in sorted(counts, reverse=True):
+        for _ in range(counts[piece]):
+            fits = [(size - sum(inside), size, i) for i, (size, inside) in enumerate(bins) if size - sum(inside) >= piece]
             if fits:
-                b = min(fits, key=lambda b: b[0])
+                bins[min(fits)[2]][1].append(piece)
             else:
-                cap = min((s for s in lengths if s >= size), key=lambda s: (op6_packing.cost(s) / s, s))
-                b = [cap, []]
-                bins.append(b)
-            b[0] -= size
-            b[1].append(size)
-    return bins
+                bins.append((min((s for s in lengths if s >= piece), key=lambda s: (cost(s) / filled(s, piece), s)), [piece]))
+    return sorted((min(s for s in lengths if s >= sum(inside)), sorted(inside)) for _, inside in bins), sum(s > min(x for x in lengths if x >= sum(i)) for s, i in bins)
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_plan_is_best_fit(seed):
-    r = random.Random(seed)
-    lengths = r.choice([(8, 16, 32), (512, 1024, 2048, 4096), (10,), (7, 13)])
-    counts = collections.Counter(r.randint(1, max(lengths)) for _ in range(r.choice([1, 5, 60, 300])))
-    p = op6_packing.make_plan(dict(counts), lengths)
+def placed_bins(counts, plan):
+    """Bins (size, pieces) of a plan, pieces side by side."""
     bins, caps, rank = collections.defaultdict(list), {}, 0
     for size in sorted(counts):
         for _ in range(counts[size]):
-            i = p.rank.searchsorted(rank, "right") - 1
-            j = rank - p.rank[i]
-            b = p.base[i] + j // p.each[i]
-            bins[b].append((p.at[i] + j % p.each[i] * size, size))
-            caps[b] = p.size[p.first_bin.searchsorted(b, "right") - 1]
+            i = plan.rank.searchsorted(rank, "right") - 1
+            j = rank - plan.rank[i]
+            b = plan.base[i] + j // plan.each[i]
+            bins[b].append((plan.at[i] + j % plan.each[i] * size, size))
+            caps[b] = plan.size[plan.first_bin.searchsorted(b, "right") - 1]
             rank += 1
-    for b, pieces in bins.items():
-        end = 0
-        for at, size in sorted(pieces):
-            assert at == end
-            end += size
-        assert caps[b] == min(s for s in lengths if s >= end)
-    want = plain_packing(counts, lengths)
-    assert len(bins) == len(want)
-    if len(lengths) == 1:
-        assert sorted(sum(s for _, s in x) for x in bins.values()) == sorted(sum(b[1]) for b in want)
+    for pieces in bins.values():
+        ends = list(itertools.accumulate(size for _, size in sorted(pieces)))
+        assert [at for at, _ in sorted(pieces)] == [0, *ends[:-1]]
+    return sorted((int(caps[b]), sorted(size for _, size in pieces)) for b, pieces in bins.items())
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_is_best_fit(seed):
+    """The whole plan, bin for bin, against placing pieces one by one."""
+    r = random.Random(seed)
+    lengths = r.choice([(8, 16, 32), (512, 1024, 2048, 4096), (10,), (7, 13)])
+    known = [r.randint(1, max(lengths)) for _ in range(r.choice([3, 1000]))]
+    counts = collections.Counter(r.choice(known) for _ in range(r.choice([1, 5, 60, 300])))
+    assert placed_bins(counts, op6_packing.make_plan(dict(counts), lengths)) == plain_packing(counts, lengths)[0]
+
+
+def test_sizes_are_chosen_together():
+    """Larger bins than the smallest that fits are opened where that costs less, and downsized where they stay empty."""
+    counts = {600: 31, 300: 7}
+    want, downsized = plain_packing(counts, op6_packing.LENGTHS)
+    got = placed_bins(counts, op6_packing.make_plan(counts))
+    assert got == want and downsized and {s for s, _ in got} >= {2048}
+    spent = sum(op6_packing.cost(s) for s, _ in got)
+    for single in op6_packing.LENGTHS[1:]:
+        assert spent < sum(op6_packing.cost(s) for s, _ in placed_bins(counts, op6_packing.make_plan(counts, (single,))))
 
 
 def test_packing(spark, table, docs, odd):
@@ -121,6 +146,12 @@ def test_packing(spark, table, docs, odd):
         assert end <= cap
     assert {(r["piece"], r["start"], r["length"]) for r in got if r["doc_id"] is None} == {(0, 0, 4096), (1, 4096, 4096), (2, 8192, 1808)}
     assert op6_packing.pack(op6_packing.token_counts(table([]))).collect() == []
+    all_ = op6_packing.totals(op6_packing.pack(op6_packing.token_counts(table(rows)))).first()
+    caps = {r["bin_id"]: r["capacity"] for r in got if r["length"]}
+    assert (all_["bins"], all_["tokens"], all_["capacity"]) == (len(caps), sum(words.values()), sum(caps.values()))
+    assert all_["cost"] == pytest.approx(sum(op6_packing.cost(c) for c in caps.values())) and all_["fill"] == pytest.approx(sum(words.values()) / sum(caps.values()))
+    own = table(rows).selectExpr("doc_id rank", "n_chars _n", "text")
+    assert op6_packing.pack(op6_packing.token_counts(own, "rank"), id_col="rank").count() == len(got)
 
 
 @pytest.mark.parametrize(("bits", "dims"), [(2, 2), (4, 2), (3, 3), (4, 3), (2, 4)])
@@ -146,6 +177,33 @@ def test_shards(spark, table, docs, odd, tmp_path):
     few = op9_shards.hilbert_shards(table(rows[:3]), ("lang", "n_chars"), 40).collect()
     assert [r["slot"] for r in few] == [0, 0, 0] and len({r["shard"] for r in few}) == 3
     assert op9_shards.hilbert_shards(table([]), ("lang",), 40).collect() == []
-    plain = spark.createDataFrame([(i, "t" * i, "en" if i % 2 else "de", i) for i in range(50)], "doc_id long, text string, lang string, n_chars long")
-    op9_shards.write_shards(plain, op9_shards.hilbert_shards(plain, ("lang", "n_chars"), 5), f"{tmp_path}/out")
-    assert {r["shard"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().collect()} == {i: 10 for i in range(5)}
+
+
+def test_written_shards(spark, table, odd, tmp_path):
+    """Every row, null and repeated ids and clashing names too, in the folder of its shard."""
+    rows = [*odd, (5, "a b c"), (5, "a b c"), (5, "other"), (None, None), (None, "x")]
+    df = table(rows)
+    name = op9_shards.write_shards(df, ("lang", "source", "n_chars"), 4, f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert name == "_shard" and sorted(got.columns) == sorted([*df.columns, "_shard"])
+    assert sorted(map(str, got.drop("_shard").select(df.columns).collect())) == sorted(map(str, df.collect()))
+    sizes = [r["count"] for r in got.groupBy("_shard").count().collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+
+
+def test_shards_can_be_skipped(spark):
+    """A shard covers few values of every dimension, also of those with few values; cells follow plain ranks."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").drop("text").withColumn("text", F.lit(""))
+    dims = ("lang", "source", "n_chars")
+    placed = op9_shards.hilbert_shards(docs, dims, 40)
+    boxes = op9_shards.shard_bounds(docs, placed, dims).collect()
+    assert len(boxes) == 40 and sum(b["rows"] for b in boxes) == docs.count()
+    for d, most in zip(dims, (0.6, 0.6, 0.6), strict=True):
+        asked = [r[0] for r in docs.select(d).distinct().orderBy(F.xxhash64(d)).limit(40).collect()]
+        read = [sum(b[f"min_{d}"] <= v <= b[f"max_{d}"] for b in boxes) / 40 for v in asked]
+        assert sum(read) / len(read) <= most, (d, sum(read) / len(read))
+    values = [r[0] for r in docs.select("source").collect()]
+    order = sorted(values)
+    bounds = op9_shards._string_cells(docs, "source", 16, Scratch(spark))
+    for v in set(values):
+        assert max((c for x, c in bounds if x <= v)) == order.index(v) * 16 // len(order)

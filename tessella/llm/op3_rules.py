@@ -4,7 +4,8 @@ Every metric is a built-in expression over the text's array of words, so a scan,
 no shuffle, no Python. A rule is a row of the table (name, metric, least, most); ``compile_rules`` turns the table into
 the boolean columns of that projection. Edge cases: a null or empty text has no words and fails the base rule; ratios
 of a text without words are 0; texts are read whole, however long; repeated rows are judged row by row; other columns
-of the input are neither read nor returned, so their names cannot clash.
+of the input are neither read nor returned, so their names cannot clash. Windows are compared by 64-bit hashes of their
+words: two unlike windows of one text count as equal by a chance of one in 2 ** 64 a pair.
 """
 
 from __future__ import annotations

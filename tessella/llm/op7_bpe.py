@@ -5,8 +5,9 @@ the rank of the pair that starts at each symbol, its nodes the least (rank, plac
 pair of the lowest rank. Merging it changes three leaves, each an update of logarithmic cost, and ends when the root
 says that no pair can be merged; a part of n bytes takes O(n log n), however long and whatever it holds.
 
-Encoded parts are remembered in each worker process, up to CACHE parts of at most SHORT characters (about 200 MB); longer
-or later parts are encoded anew, so memory is bounded and results do not depend on it. The vocabulary (a file of fixed size) is read
+Encoded parts of at most SHORT characters are remembered in each worker process, up to CACHE of them (about 200 MB): those
+met since the last CACHE / 2 new ones, and those before them, so parts that go on occurring stay. Memory is bounded and
+results do not depend on it. The vocabulary (a file of fixed size) is read
 once by the driver and broadcast.
 
 Edge cases: null is empty; an empty text has no tokens; a special token's string in a text is that token, as in the
@@ -79,6 +80,9 @@ def read_vocabulary(path: str) -> Vocabulary:
     for rank, pair in enumerate(model["merges"]):
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+    for t in spec["added_tokens"]:
+        if other := [f for f in ("lstrip", "rstrip", "single_word") if t.get(f)]:
+            raise ValueError(f"{path}: the token {t['content']!r} has {', '.join(other)}, which is not supported")
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     tokens = [b""] * (max([*ids.values(), *special.values()]) + 1)
     for token, i in [*ids.items(), *special.items()]:
@@ -159,6 +163,7 @@ class Coder:
         self.split_exactly = regex.compile(exact, regex.V1).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")").split if vocabulary.special else None
         self.written: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def part(self, part: str) -> list[int]:
         """Ids of one part of the split."""
@@ -191,9 +196,13 @@ class Coder:
         return b"".join(self.v.tokens[i] for i in ids).decode("utf-8", "replace")
 
     def _fill(self, part: str) -> tuple[str, bytes]:
-        ids = self.part(part)
-        made = ",".join(map(str, ids)), b"".join([self.v.tokens[i] for i in ids])
-        if len(part) <= SHORT and len(self.written) < CACHE:
+        made = self.written.get(part) or self.older.get(part)
+        if made is None:
+            ids = self.part(part)
+            made = ",".join(map(str, ids)), b"".join([self.v.tokens[i] for i in ids])
+        if len(part) <= SHORT:
+            if len(self.written) >= CACHE // 2:
+                self.older, self.written = self.written, {}
             self.written[part] = made
         return made
 

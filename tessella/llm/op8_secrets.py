@@ -4,6 +4,8 @@ Base patterns find assignments, access ids and long hex strings. Beyond them, ca
 they are reported: base64 and hex runs must hold a private key whose DER lengths nest exactly (``der``) or an OpenSSH
 key whose length-prefixed fields do (``ssh``), armoured blocks must decode to one of these (``pem``), and signed tokens
 must have a JSON header that names an algorithm and a JSON body (``jwt``). A random string of the right alphabet fails.
+Armour may have its line ends written as escapes, as in JSON or settings files, and header lines; if these say that the
+body is encrypted, it must be whole cipher blocks with an initial vector. Encrypted PKCS#8 is told by its algorithm.
 
 A vectorised pass over the bytes first finds the texts that can hold any of it (runs of the alphabets, marks, key words);
 only those are matched, whole. Edge cases: null is empty and has no spans; repeated rows are scanned alike; texts may be
@@ -32,7 +34,11 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s\\,:.]|-(?!----))*)-----END \1-----")
+HEADER = re.compile(r"[A-Za-z][A-Za-z-]*: ")
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s*")
+# Object identifiers (1.2.840.113549.1.5 and .1.12.1) below which password-based encryption stands.
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[Mb][A-Za-z0-9+/_-]{30,}={0,2}")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9a-f]{2}){24,}|(?<![0-9A-Fa-f])30(?:[0-9A-F]{2}){24,}")
@@ -76,11 +82,14 @@ def _children(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
 
 
 def is_der_key(raw: bytes) -> bool:
-    """Whether the bytes are one private key: PKCS#1, SEC 1 or PKCS#8, nested lengths exact."""
+    """Whether the bytes are one private key: PKCS#1, SEC 1 or PKCS#8, plain or encrypted, nested lengths exact."""
     top = _element(raw, 0, len(raw))
     if top is None or top[0] != 0x30 or top[2] != len(raw):
         return False
     parts = _children(raw, top[1], top[2])
+    if parts and [p[0] for p in parts] == [0x30, 0x04]:  # encrypted PKCS#8
+        name = _children(raw, parts[0][1], parts[0][2])
+        return bool(name) and name[0][0] == 0x06 and raw[name[0][1] : name[0][2]].startswith(ENCRYPTIONS) and parts[1][2] - parts[1][1] >= 16
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
     tags = [p[0] for p in parts]
@@ -116,6 +125,20 @@ def is_ssh_key(raw: bytes) -> bool:
     return 1 <= keys <= 16 and all(field() is not None for _ in range(keys + 1)) and at == len(raw)
 
 
+def is_armoured_key(body: str) -> bool:
+    """Whether what stands between the marks of an armoured block is a private key."""
+    lines = re.sub(r"\\[rn]", "\n", body).split("\n")
+    lines = [x.strip() for x in lines if x.strip()]
+    named = [x for x in lines if HEADER.match(x)]
+    raw = _decode64("".join(x for x in lines if not HEADER.match(x)))
+    if not raw:
+        return False
+    if any(x.startswith("Proc-Type: 4,ENCRYPTED") for x in named):
+        iv = next((m[1] for x in named if (m := CIPHER.fullmatch(x))), "")
+        return bool(iv) and len(raw) >= 16 and len(raw) % (len(iv) // 2) == 0
+    return is_der_key(raw) or is_ssh_key(raw)
+
+
 def is_token(header: str, body: str) -> bool:
     """Whether two parts of a signed token are JSON objects, the first naming an algorithm."""
     try:
@@ -134,7 +157,7 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
-        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if (raw := _decode64(m[2])) and (is_der_key(raw) or is_ssh_key(raw))]
+        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_armoured_key(m[2])]
     if "ey" in text:
         found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
     for m in BASE64.finditer(text):
@@ -191,7 +214,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["id", "found"])
 
     key = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(find, f"id {key}, found array<struct<start:bigint,kind:string,end:bigint>>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(texts.trimmed(find), f"id {key}, found array<struct<start:bigint,kind:string,end:bigint>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -210,7 +233,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
                 b = b.set_column(i, b.schema.field(i), pa.array(values, column.type))
             yield b
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(texts.trimmed(clean), docs.schema)
 
 
 def hide(text: str, mark: str) -> str:

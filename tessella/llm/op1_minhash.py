@@ -41,8 +41,9 @@ from tessella.runtime import Scratch
 SHINGLE = 5
 HALVES, WIDTH = 12, 2
 LEAST, OF = 75, 100
-#: Bits a shingle of a set's bit array, and members of a block when buckets are paired up.
-BITS, BLOCK = 8, 256
+#: Bits a shingle of a set's bit array; pairs of a hub that are confirmed in one run; bytes of the bit arrays of a block of
+#: members, when buckets are paired up.
+BITS, BLOCK, BLOCK_BYTES = 8, 256, 1 << 20
 #: Tasks over which the pairs of a hub of more than BLOCK are spread while they are counted.
 SPREAD = 64
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -217,7 +218,7 @@ def _folded(bits: bytes, words: int) -> np.ndarray:
 
 
 class _Members:
-    """Members of a block of a bucket, met by one probe at a time."""
+    """Members of a block of a bucket, about BLOCK_BYTES of bit arrays, met by one probe at a time."""
 
     def __init__(self, rows):
         self.doc, self.n, self.comp = (np.array(c) for c in zip(*[r[:3] for r in rows], strict=True))
@@ -246,8 +247,7 @@ class _Members:
 
 
 def _probed(batches):
-    """Rows (key, block, kind, doc, n, component, cells) sorted by the first three: a block's members (kind 0, at most
-    about BLOCK) and then the probes that meet them, to pairs (smaller doc, larger doc) that must be confirmed."""
+    """Rows (key, block, kind, doc, n, component, cells) sorted by the first three: a block's members (kind 0) and then the probes that meet them, to pairs (smaller doc, larger doc) that must be confirmed."""
     run, rows, members = None, [], None
     for batch in batches:
         out = []
@@ -314,11 +314,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = scratch.keep(components(links, scratch))
 
     # buckets that still hold several components
-    placed = shared.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("size"), F.sum("s").alias("sum")).filter("parts > 1")
-    once = mixed.groupBy("size", "sum").agg(F.min(F.struct("key", F.col("m.component").alias("main"))).alias("k"))  # buckets of the same members count once
-    once = once.select("k.key", "k.main", F.expr(f"cast(ceil(size / {BLOCK}.0) as int)").alias("blocks"))
+    sized = classes.select("doc", (F.col("n") * 2 * BITS / 8 + 64).cast("long").alias("bytes"))  # of a bit array, at most
+    placed = shared.join(found, "doc", "left").join(sized, "doc").select("key", "doc", F.coalesce("component", "doc").alias("component"), "bytes")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("size"), F.sum("b").alias("bytes"), F.sum("s").alias("sum")).filter("parts > 1")
+    once = mixed.groupBy("size", "bytes", "sum").agg(F.min(F.struct("key", F.col("m.component").alias("main"))).alias("k"))  # buckets of the same members count once
+    once = once.select("k.key", "k.main", F.expr(f"cast(ceil(bytes / {BLOCK_BYTES}.0) as int)").alias("blocks"))
     members = placed.join(once, "key")
     home = members.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "doc", "component")
     # two members of different components are not both in the bucket's main one: the others go round its blocks
@@ -329,8 +330,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not crossed.isEmpty():
         more = scratch.keep(confirmed(crossed, sets))
         if not more.isEmpty():
-            scratch.drop(found)
-            found = scratch.keep(components(links.unionByName(more), scratch))
+            before, found = found, scratch.keep(components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
+            scratch.drop(before)
         scratch.drop(more)
     scratch.drop(shared, hubs, stars, wanted, sets, links, crossed)
 

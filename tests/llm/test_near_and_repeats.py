@@ -31,6 +31,7 @@ def test_near_duplicates(spark, table, docs, odd):
 
 def test_near_duplicates_blocks(spark, table, monkeypatch):
     monkeypatch.setattr(op1_minhash, "BLOCK", 4)
+    monkeypatch.setattr(op1_minhash, "BLOCK_BYTES", 2000)
     rows = [(i, t) for i, t in enumerate(family(9, copies=60, edits=20))]
     got = {r["doc_id"]: r["component_id"] for r in op1_minhash.near_duplicates(table(rows)).collect()}
     assert got == {d: c for d, (_, c) in brute.near(rows).items()}

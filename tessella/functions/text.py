@@ -1,4 +1,4 @@
-"""Text and record expressions: lines, paragraphs, tokens, windows, snippets, addresses and hashes."""
+"""Text expressions: globs, snippets, ids of chunks. Lines, records, tokens and windows are the readers' and the chunker's."""
 
 from __future__ import annotations
 
@@ -41,45 +41,6 @@ def snippet(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, n), r"[\s\x1c-\x1f\x85   -     　]+$", ""), F.lit(" …")))
 
 
-def physical_lines(text: Column) -> Column:
-    """Lines by \\n only, one trailing \\r off each, no line after a final \\n; empty text has none."""
-    body = F.regexp_replace(text, r"\n\z", "")
-    lines = F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
-
-
-def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start_line, end_line, text): maximal runs of lines that are not blank, lines counted from 1.
-
-    Runs are found inside each text's own array of lines, so nothing is shuffled.
-    """
-    lines = df.select(id_col, physical_lines(F.col(text_col)).alias("_l"))
-    blank = F.transform("_l", lambda x: ~x.rlike(r"\S"))
-    marked = lines.select(id_col, "_l", blank.alias("_b"), F.size("_l").alias("_n"))
-    starts = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda i: ~F.col("_b")[i - 1] & ((i == 1) | F.col("_b")[F.greatest(i - 2, F.lit(0))]))
-    ends = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda i: ~F.col("_b")[i - 1] & ((i == F.col("_n")) | F.col("_b")[F.least(i, F.col("_n") - 1)]))
-    runs = marked.filter("_n > 0").select(id_col, "_l", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_r"))
-    return runs.select(id_col, F.col("_r.s").alias("start_line"), F.col("_r.e").alias("end_line"), F.array_join(F.slice("_l", F.col("_r.s"), F.col("_r.e") - F.col("_r.s") + 1), "\n").alias("text"))
-
-
-def token_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
-
-
-def windows(n: Column, budget: int, overlap: int) -> Column:
-    """Starts of the windows of ``budget`` tokens over n tokens, ``overlap`` shared; one window if n fits."""
-    step = max(1, budget - overlap)
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - budget) / step).cast("int")) * step, F.lit(step))
-
-
-def locator(start: Column, end: Column, page: Column, record: Column, part: Column, parts: Column) -> Column:
-    """Where a chunk lies in its file: record, page, lines, or all of it."""
-    lines = F.concat(F.lit("L"), start.cast("string"), F.lit("-"), end.cast("string"))
-    rec = F.concat(F.lit("rec:"), record, F.when(parts > 1, F.concat(F.lit("#"), (part + 1).cast("string"))).otherwise(""))
-    paged = F.concat(F.lit("p"), page.cast("string"), F.when(start.isNotNull(), F.concat(F.lit(":"), lines)).otherwise(""))
-    return F.when(record.isNotNull(), rec).when(page.isNotNull(), paged).when(start.isNotNull(), lines).otherwise(F.lit("all"))
-
-
 def chunk_id(path: Column, place: Column, text_sha256: Column) -> Column:
     """Twelve hex digits that depend on file, place and content."""
     return F.substring(F.sha1(F.concat(path, F.lit("\0"), place, F.lit("\0"), text_sha256).cast("binary")), 1, 12)
@@ -90,16 +51,3 @@ def unique_ids(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
     again = F.aggregate(F.sequence(F.lit(1), nth), F.col(id_col), lambda h, i: F.when(i == 1, h).otherwise(F.substring(F.sha1(h.cast("binary")), 1, 12)))
     return df.withColumn(id_col, again)
-
-
-def record_text(columns: list[str]) -> Column:
-    """``name: value`` lines of the columns that are not blank."""
-    parts = [F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns]
-    return F.concat_ws("\n", *parts)
-
-
-def record_id(explicit: Column | None, candidates: list[Column], ordinal: Column) -> Column:
-    """The explicit id, else the first candidate that is not blank, else the ordinal."""
-    if explicit is not None:
-        return F.coalesce(explicit.cast("string"), ordinal.cast("string"))
-    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c.cast("string")) for c in candidates], ordinal.cast("string"))

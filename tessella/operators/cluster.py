@@ -126,8 +126,8 @@ def describe(assigned: DataFrame, reps: int = 3, max_members: int = 50) -> DataF
 
 def sample_matrix(items: DataFrame, most: int, seed: int) -> np.ndarray:
     """At most so many items' vectors, by a hash of the item: the same for the same items and seed."""
-    rows = items.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(most).select("vec").collect()
-    return np.array([r["vec"] for r in rows], np.float64)
+    vecs = items.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(most).select("vec").toArrow().column(0).combine_chunks()
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), -1) if len(vecs) else np.zeros((0, 0))
 
 
 def cluster(chunks: DataFrame, level: str = "chunk", k: int | str = "auto", seed: int = 0, sample: int = SAMPLE, max_members: int = 50, reps: int = 3) -> tuple[DataFrame, dict]:

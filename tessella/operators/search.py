@@ -21,7 +21,7 @@ class EngineError(ValueError):
 
 @dataclass
 class Item:
-    """What a reference to a chunk or file resolves to."""
+    """What a reference to a chunk or file resolves to; rows: the chunk's, none of a file's."""
 
     kind: str
     vec: list[float]
@@ -47,20 +47,26 @@ def hit(score: Column | None, snip: int, columns: list[str]) -> list[Column]:
     return out + ([T.snippet(F.col("text"), snip).alias("text")] if "text" in columns else [])
 
 
-#: Dimensions up to which scores are native expressions; beyond, a task multiplies its Arrow batches as matrices.
-NATIVE_DIMS = 128
+#: Winners up to which their rows are asked for by number, which the scan can skip by; more are joined.
+NAMED_ROWS = 1000
 
 
-def scores(rows: DataFrame, query) -> DataFrame:
-    """(row, path, _score): inner product of every row's vector with a vector, in double precision."""
-    if len(query) <= NATIVE_DIMS:
-        return rows.select("row", "path", V.dot(F.col("vec"), V.literal(query)).alias("_score"))
+def scores(rows: DataFrame, query, k: int | None = None, min_score: float | None = None) -> DataFrame:
+    """(row, path, _score): inner product of every row's vector with a vector, in double precision.
+
+    A task multiplies its Arrow batches as matrices, row by row in one order, so equal vectors get equal scores. k: of each
+    batch only the rows that reach its k-th best score are returned; ties are.
+    """
     q = np.asarray(query, np.float64)
 
     def run(batches):
         for b in batches:
-            m = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.astype(np.float64) @ q)], ["row", "path", "_score"])
+            m = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(q))
+            s = np.einsum("ij,j->i", m, q, dtype=np.float64)
+            keep = np.ones(len(s), bool) if min_score is None else s >= min_score
+            if k is not None and len(s) > k:
+                keep &= s >= np.partition(s, len(s) - k)[len(s) - k]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), pa.array(s[keep])], ["row", "path", "_score"])
 
     kinds = dict(rows.dtypes)
     return rows.select("row", "path", "vec").mapInArrow(run, f"row {kinds['row']}, path {kinds['path']}, _score double")
@@ -69,8 +75,8 @@ def scores(rows: DataFrame, query) -> DataFrame:
 def ranked(chunks: DataFrame, query, k: int = 10, min_score: float | None = None, path_glob: str | None = None, group_by_file: bool = False, exclude_rows: list[int] | None = None, exclude_path: str | None = None, snip: int = 300) -> DataFrame:
     """The k chunks of greatest inner product with a vector, best first, ties by row.
 
-    Filters come before scoring and reach the scan; what is ranked carries only row, path and score, and the rest of the
-    columns is fetched for the k winners alone.
+    Filters come before scoring and reach the scan; what is ranked carries only row, path and score. Other columns are
+    fetched for the k winners alone: these are found first (k rows reach the driver) and asked for by number.
     """
     _positive("k", k)
     rows = alive(chunks)
@@ -80,15 +86,19 @@ def ranked(chunks: DataFrame, query, k: int = 10, min_score: float | None = None
         rows = rows.filter(F.col("path") != exclude_path)
     if exclude_rows:
         rows = rows.filter(~F.col("row").isin(*exclude_rows))
-    scored = scores(rows, query)
-    if min_score is not None:
-        scored = scored.filter(F.col("_score") >= min_score)
+    scored = scores(rows, query, None if group_by_file else k, min_score)
     if group_by_file:
         best = scored.groupBy("path").agg(F.max(F.struct("_score", (-F.col("row")).alias("r"))).alias("m"))
         scored = best.select((-F.col("m.r")).alias("row"), "path", F.col("m._score").alias("_score"))
     top = scored.orderBy(F.desc("_score"), "row").limit(k)
-    found = rows.drop("vec", "path").join(F.broadcast(top), "row")  # k rows
-    return found.orderBy(F.desc("_score"), "row").select("row", *hit(F.col("_score"), snip, chunks.columns))
+    if any(c in chunks.columns for c in ("chunk_id", "locator", "heading", "text")):
+        rest = rows.drop("vec", "path")
+        if k <= NAMED_ROWS:
+            found = top.collect()
+            rest = rest.filter(F.col("row").isin(*[r["row"] for r in found]))
+            top = chunks.sparkSession.createDataFrame(found, top.schema)
+        top = rest.join(top, "row")
+    return top.orderBy(F.desc("_score"), "row").select("row", *hit(F.col("_score"), snip, chunks.columns))
 
 
 def search(chunks: DataFrame, query_vec, **options) -> DataFrame:
@@ -124,7 +134,7 @@ def resolve(chunks: DataFrame, ref: str) -> Item:
     path = ref if is_file else ref.removeprefix("./")
     own = rows.filter(F.col("path") == path)
     if got := file_vectors(own).collect():
-        return Item("file", list(got[0]["vec"]), [r["row"] for r in own.select("row").orderBy("row").collect()], path, path)
+        return Item("file", list(got[0]["vec"]), [], path, path)
     raise EngineError(f"'{ref}' is no chunk id, file or file:line of the index")
 
 

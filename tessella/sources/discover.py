@@ -75,6 +75,16 @@ def _fits(path: str, globs: list[str]) -> bool:
     return any(fnmatch.fnmatch(x, g) for g in globs for x in (path, os.path.basename(path)))
 
 
+def verdict(shown: str, size: int, named: bool = False, include: list[str] = (), exclude: list[str] = (), most_bytes: int = MOST_BYTES) -> str:
+    """What becomes of a file: ``take``, ``leave``, or ``large``. named: it is a root itself."""
+    name = os.path.basename(shown)
+    if _fits(shown, list(exclude)) or not named and (name in SKIP_FILES or include and not _fits(shown, list(include))):
+        return "leave"
+    if size > most_bytes:
+        return "large"
+    return "leave" if os.path.splitext(name)[1].lower() in BINARY else "take"
+
+
 @dataclass
 class Found:
     """(shown path, real path, size, mtime) of each file, and notes on files that are too large."""
@@ -89,18 +99,18 @@ def discover(roots: list[str], include: list[str] = (), exclude: list[str] = (),
 
     def take(path: str, named: bool) -> None:
         real = os.path.realpath(path)
-        shown, name = shown_path(real), os.path.basename(path)
-        if real in seen or (name in SKIP_FILES and not named) or _fits(shown, list(exclude)):
-            return
-        if include and not named and not _fits(shown, list(include)):
-            return
+        shown = shown_path(real)
         try:
             stat = os.stat(real)
         except OSError:
             return
-        if stat.st_size > most_bytes:
+        # names are those of the link, if it is one, paths those of the file
+        what = "leave" if real in seen else verdict(shown, stat.st_size, named, include, exclude, most_bytes)
+        if os.path.basename(path) != os.path.basename(real) and what == "take":
+            what = verdict(os.path.basename(path), 0, True)
+        if what == "large":
             found.skipped.append(f"{shown} (over {most_bytes >> 20} MB)")
-        elif os.path.splitext(path)[1].lower() not in BINARY:
+        elif what == "take":
             seen.add(real)
             found.files.append((shown, real, stat.st_size, stat.st_mtime))
 

@@ -52,19 +52,28 @@ def test_index_life(spark, tmp_path, monkeypatch):
     with pytest.raises(EngineError):
         ix.chunks()
     made = ix.build(["fx"])
-    assert made["added"] == ["fx/a.md", "fx/b.md", "fx/t.jsonl"] and made["chunks_embedded"] == 5
+    assert (made["added"], made["chunks_embedded"], made["empty_files"]) == (3, 5, 0)
+    assert sorted(map(tuple, made["statuses"].collect())) == [("fx/a.md", "added"), ("fx/b.md", "added"), ("fx/t.jsonl", "added")]
     assert [r["locator"] for r in ix.chunks().orderBy("row").collect()] == ["L1-5", "L7-9", "L1-3", "rec:T-1", "rec:T-2"]
     query = embed.HashedWords().encode(["two high tides a day"], "query")[0]
     assert search.search(ix.chunks(), query, k=1).first()["path"] in ("fx/a.md", "fx/b.md")
     best = {r["item"]: r["other"] for r in similarity.nearest(ix.chunks(), k=1).collect()}
     assert best[0] == 2 and best[2] == 0
+    assert (ix.build(["fx"])["unchanged"], ix.current()) == (3, "g1")  # nothing differs, nothing is written
     os.utime("fx/a.md", (1, 1))
     again = ix.build(["fx"])
     assert (again["unchanged"], again["chunks_embedded"]) == (3, 0)
+    assert (ix.current(), ix.folder.names("g2"), ix.manifest()["chunks_of"]) == ("g2", ["files", "manifest.json"], "g1")
+    assert ix.files().filter("path = 'fx/a.md'").first()["mtime"] == 1 and ix.chunks().count() == 5 and ix.info()["size_bytes"] > ix.folder.bytes("g2")
+    os.utime("fx/a.md", (2, 2))
+    ix.build(["fx"])
+    assert (ix.current(), ix.manifest()["chunks_of"], ix.chunks().count()) == ("g3", "g1", 5)
+    assert ix.dupes(0.3).count() and not ix.dupes().count()  # by default from 0.9 on
     write("fx/t.jsonl", '{"id": "T-9", "text": "new"}\n')
     os.remove("fx/b.md")
     last = ix.build(["fx"])
-    assert (last["changed"], last["removed"], last["chunks_embedded"], last["compacted"]) == (["fx/t.jsonl"], ["fx/b.md"], 1, True)
+    assert (last["changed"], last["removed"], last["chunks_embedded"], last["compacted"]) == (1, 1, 1, True)
+    assert {tuple(r) for r in last["statuses"].collect()} == {("fx/t.jsonl", "changed"), ("fx/b.md", "removed"), ("fx/a.md", "unchanged")}
     info = ix.info()
     assert (info["files"], info["chunks"], info["tombstoned"]) == (2, 3, 0)
     assert sorted(r["row"] for r in ix.chunks().collect()) == [0, 1, 2]
@@ -79,6 +88,49 @@ def test_index_life(spark, tmp_path, monkeypatch):
             plans.Index(spark, root, name)
 
 
+def test_scoped_removal(spark, tmp_path, monkeypatch):
+    """A file that is not listed goes if it lay under a given folder or is gone from disk, else it stays."""
+    monkeypatch.chdir(tmp_path)
+    for f in ("one/a.txt", "one/b.txt", "two/c.txt", "two/d.txt", "one-more/e.txt"):
+        write(f, f"words of {f}")
+    ix = plans.Index(spark, f"file://{tmp_path}/ix", "s")
+    assert ix.build(["one", "two", "one-more"])["added"] == 5
+    os.remove("two/d.txt")
+    got = ix.build(["one"], exclude=["b.txt"])
+    assert {tuple(r) for r in got["statuses"].collect()} == {("one/a.txt", "unchanged"), ("one/b.txt", "removed"), ("two/c.txt", "elsewhere"), ("two/d.txt", "removed"), ("one-more/e.txt", "elsewhere")}
+    assert got["removed"] == 2 and sorted(r["path"] for r in ix.files().collect()) == ["one-more/e.txt", "one/a.txt", "two/c.txt"]
+
+
+def test_a_run_that_is_cut_short(spark, tmp_path, monkeypatch):
+    """Before the pointer moves the old generation is read; what is left over goes with the next run."""
+    monkeypatch.chdir(tmp_path)
+    write("fx/a.txt", "one two three")
+    ix = plans.Index(spark, f"file://{tmp_path}/ix", "r")
+    ix.build(["fx"])
+    write("fx/b.txt", "four five six")
+    real = plans.Folder.write
+
+    def fails(folder, name, text):
+        if name == at:
+            raise RuntimeError("power is off")
+        real(folder, name, text)
+
+    for at in ("g2/manifest.json", "CURRENT"):
+        with monkeypatch.context() as m:
+            m.setattr(plans.Folder, "write", fails)
+            with pytest.raises(RuntimeError, match="power"):
+                ix.build(["fx"])
+        assert ix.current() == "g1" and ix.chunks().count() == 1
+        ix.folder.delete("g2")
+    ix.build(["fx"])
+    ix.folder.delete("CURRENT")  # lost within the swap: the last whole generation is taken
+    assert ix.current() == "g2" and ix.chunks().count() == 2
+    os.makedirs(f"{tmp_path}/ix/r/g9/chunks")
+    write("fx/c.txt", "seven eight")
+    ix.build(["fx"])
+    assert ix.chunks().count() == 3 and "g9" not in ix.folder.names()
+
+
 def test_stream(spark, tmp_path):
     schema = "path string, content binary"
     spark.createDataFrame([("a.txt", b"one two three"), ("b.txt", b"four five")], schema).write.parquet(f"{tmp_path}/in/1")

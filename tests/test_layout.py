@@ -2,6 +2,8 @@
 
 import pathlib
 
+import pytest
+
 ROOT = pathlib.Path(__file__).parents[1]
 
 
@@ -24,8 +26,12 @@ def test_shared_folder_is_the_one_named(spark, monkeypatch, tmp_path):
 
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: f"file://{tmp_path}/named/"))
     assert runtime.shared_dir(named) == f"file://{tmp_path}/named"
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(applicationId="test", getConf=lambda: {}))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(applicationId="test", master="local[3]", getConf=lambda: {}))
     assert runtime.shared_dir(unset).startswith("file:/") and runtime.shared_dir(unset) == runtime.shared_dir(unset)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        unset.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            runtime.shared_dir(unset)
     monkeypatch.setattr(runtime, "shared_dir", lambda spark: f"file://{tmp_path}/named")
     kept = runtime.Scratch(spark).keep(spark.range(3))
     assert kept.count() == 3 and len(list((tmp_path / "named").iterdir())) == 1

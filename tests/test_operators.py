@@ -54,7 +54,7 @@ def test_items_and_errors(spark):
     c = chunk_rows(spark)
     assert search.resolve(c, "c2").rows == [2]
     assert search.resolve(c, "a.md:7").rows == [0]
-    assert search.resolve(c, "a.md").kind == "file" and search.resolve(c, "a.md").rows == [0, 1, 2, 3]
+    assert search.resolve(c, "a.md").kind == "file" and search.resolve(c, "a.md").rows == []
     for ref in ("a.md:900", "no.md:1", "no.md", "c5"):
         with pytest.raises(search.EngineError):
             search.resolve(c, ref)
@@ -67,11 +67,26 @@ def test_items_and_errors(spark):
         similarity.nearest(c.filter("path = 'a.md'"), across_files_only=True)
 
 
-def test_scores_native_and_blocked_agree(spark, monkeypatch):
-    c, q = chunk_rows(spark), [0.5, -0.25, 0.125, 1.0]
-    native = [tuple(r) for r in search.search(c, q, k=3).collect()]
-    monkeypatch.setattr(search, "NATIVE_DIMS", 0)
-    assert [tuple(r) for r in search.search(c, q, k=3).collect()] == native and len(native) == 3
+@pytest.mark.parametrize("dim", [3, 64, 129, 400])
+def test_search_is_brute_force(spark, monkeypatch, dim):
+    """Order, ties of equal vectors and scores, at any number of dimensions, whether winners are named or joined."""
+    m = unit(300, dim, dim)
+    m[200:260] = m[7]  # ties go to the smaller row
+    rows = [(i, f"c{i}", f"f{i % 9}", "all", f"t {i}", i % 10 == 3, v.astype(np.float32).tolist()) for i, v in enumerate(m)]
+    c = spark.createDataFrame(rows, "row long, chunk_id string, path string, locator string, text string, deleted boolean, vec array<float>").repartition(5)
+    q = m[7].tolist()
+    exact = {i: float(np.float64(np.float32(m[i])) @ m[7]) for i in range(300) if i % 10 != 3}
+    want = sorted(exact, key=lambda i: (-round(exact[i], 9), i))
+    for most in (1000, 5):
+        monkeypatch.setattr(search, "NAMED_ROWS", most)
+        got = search.search(c, q, k=70).collect()
+        assert [r["row"] for r in got] == want[:70] and [r["text"] for r in got] == [f"t {i}" for i in want[:70]]
+        assert all(abs(r["score"] - exact[r["row"]]) < 1e-4 for r in got)
+    least = exact[want[61]] - 1e-9
+    assert [r["row"] for r in search.search(c, q, k=300, min_score=least).collect()] == want[:62]
+    by_file = [r["row"] for r in search.search(c, q, k=4, group_by_file=True).collect()]
+    assert by_file == sorted((next(i for i in want if i % 9 == f) for f in range(9)), key=want.index)[:4]
+    assert [r["row"] for r in search.search(c.select("row", "path", "vec"), q, k=3).collect()] == sorted(range(300), key=lambda i: (-round(float(np.float64(np.float32(m[i])) @ m[7]), 9), i))[:3]
 
 
 def test_clusters_of_blobs(spark):
@@ -121,6 +136,64 @@ def test_readers():
         readers.read("r.csv", b"id\n1\n", readers.Options(text_cols=("nope",)))
 
 
+def test_lines_and_paragraphs():
+    assert [readers.lines_of(t) for t in ("a\r\nb\n", "", "x\n\n \ny\nz\n\n", "\n")] == [["a", "b"], [], ["x", "", " ", "y", "z", ""], [""]]
+    got = [(u.first, u.last, u.text) for u in readers.paragraphs(readers.lines_of("x\n\n \ny\nz\n\n"))]
+    assert got == [(1, 1, "x"), (4, 5, "y\nz")]
+
+
+def test_pages(monkeypatch):
+    """Pages by their number, blank and unreadable ones left out; the library is a stand-in."""
+    import sys
+    from types import SimpleNamespace
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text == "bad":
+                raise KeyError("font")
+            return self.text
+
+    pages = SimpleNamespace(pages=[Page("one\ntwo\n\nthree"), Page(None), Page("bad"), Page(" \n"), Page("four")])
+    monkeypatch.setitem(sys.modules, "pypdf", SimpleNamespace(PdfReader=lambda f: pages if f.read() == b"%PDF" else None))
+    kind, got = readers.read("a/b.PDF", b"%PDF")
+    assert kind == "pdf" and [(s.page, [(u.text, u.first) for u in s.units]) for s in got] == [(1, [("one\ntwo", None), ("three", None)]), (5, [("four", None)])]
+    assert [c[0] for c in chunking.chunks_of(got, embed.HashedWords(), 120, 18)] == ["p1", "p5"]
+
+
+def test_encoder_batches():
+    """Rows come back in their order whatever their batch; the session is a stand-in that returns each text's token ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    e = object.__new__(embed.OnnxEncoder)
+    e.model, e.dim, e.names = embed.MODELS["bge-small"], 2, {"input_ids", "attention_mask"}
+    e.tokenizer = e.plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    seen = []
+
+    class Session:
+        def run(self, _, given):
+            assert set(given) == e.names
+            ids, mask = given["input_ids"], given["attention_mask"]
+            seen.append(ids.shape)
+            assert ((ids == 0) | (mask == 1)).all()
+            return [np.stack([ids[:, 0], mask.sum(axis=1)], axis=1)[:, None, :].astype(np.float32)]
+
+    e.session = Session()
+    texts = [f"{'word ' * (i * 7 % 40)}x{i}" for i in range(50)]
+    got = e.encode(texts, room=100)
+    for t, v in zip(texts, got, strict=True):
+        ids = e.plain.encode(t).ids
+        want = np.array([ids[0], len(ids)], np.float64)
+        assert v == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
+    assert len(seen) > 5 and all(n == 1 or n * w <= 100 for n, w in seen)
+    assert e.encode([]).shape == (0, 2) and e.spans("ab cd") == [(0, 2), (2, 5)]
+    query = e.model.query_prefix + "tide"
+    assert e.encode(["tide"], "query")[0][1] / e.encode(["tide"], "query")[0][0] == pytest.approx(len(e.plain.encode(query).ids) / e.plain.encode(query).ids[0], rel=1e-5)
+
+
 def test_chunks_keep_to_the_budget():
     e = embed.HashedWords()
     text = "\n\n".join(f"p{i} " + "word " * 21 for i in range(10))
@@ -158,11 +231,6 @@ def test_packing_loses_no_unit(sizes, budget, overlap):
 
 
 def test_text_expressions(spark):
-    df = spark.createDataFrame([(0, "a\r\nb\n"), (1, ""), (2, "x\n\n \ny\nz\n\n"), (3, None)], "id long, t string")
-    lines = {r["id"]: r["l"] for r in df.select("id", T.physical_lines(F.col("t")).alias("l")).collect()}
-    assert lines == {0: ["a", "b"], 1: [], 2: ["x", "", " ", "y", "z", ""], 3: None}
-    got = [(r["id"], r["start_line"], r["end_line"], r["text"]) for r in T.paragraphs(df, "id", "t").orderBy("id", "start_line").collect()]
-    assert got == [(0, 1, 2, "a\nb"), (2, 1, 1, "x"), (2, 4, 5, "y\nz")]
     long = spark.createDataFrame([("ab  cd",)], "t string")
     assert long.select(T.snippet(F.col("t"), 4).alias("s")).first()["s"] == "ab …"
     ids = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "n int, i string")

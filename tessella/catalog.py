@@ -6,16 +6,21 @@ a file. Thresholds follow the tables: pairs of embeddings reach 0.5.
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import chunking, cluster, embed, search, similarity
 from tessella.plans import index as plans
-from tessella.runtime import table
+from tessella.runtime import shared_dir, table
 from tessella.sources import discover, readers
 
 QUERIES: dict = {}
@@ -32,6 +37,19 @@ def _query(sql: str | None = None):
     return add
 
 
+def _each(df: DataFrame, make, schema: str) -> DataFrame:
+    """The rows that ``make``, the engine's own function for one file or record, yields for each row of df, by Arrow tasks."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            rows = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in make(*row)]
+            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], kinds.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def chunk_table(spark, sf_dir: str) -> DataFrame:
     """The embeddings as a chunk table."""
     e = table(spark, sf_dir, "embeddings")
@@ -271,7 +289,11 @@ def cluster_choose_k(spark, sf_dir):
 @_query(r"SELECT doc_id, i - 1 AS line, regexp_replace(l, '\r$', '') AS text FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''))")
 def physical_lines(spark, sf_dir):
     """Lines of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.physical_lines(F.col("text"))).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+    def lines(key, text):
+        return [(key, i, x) for i, x in enumerate(readers.lines_of(text or ""))]
+
+    return _each(table(spark, sf_dir, "documents").select("doc_id", "text"), lines, "doc_id long, line long, text string")
 
 
 @_query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(replace(replace(text, '. ', chr(10)), ', ', chr(10) || chr(10)), chr(10)) AS ls FROM documents)),
@@ -280,43 +302,50 @@ SELECT doc_id, min(i)::INTEGER AS start_line, max(i)::INTEGER AS end_line, sha25
 def paragraph_units(spark, sf_dir):
     """Paragraphs of the documents, with lines made at sentences and blank lines at commas."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace("text", F.lit(". "), F.lit("\n")), F.lit(", "), F.lit("\n\n")).alias("text"))
-    return T.paragraphs(d, "doc_id", "text").select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("sha"))
 
+    def units(key, text):
+        return [(key, u.first, u.last, u.text) for u in readers.paragraphs(readers.lines_of(text or ""))]
 
-@_query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-h AS (SELECT *, sum(CASE WHEN i % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l),
-x AS (SELECT doc_id, s, max(CASE WHEN i % 5 = 1 THEN rtrim(regexp_replace(l, '^[ ]+', '')) END) AS heading, min(i) AS a, max(i) AS b FROM h GROUP BY doc_id, s)
-SELECT doc_id, count(*)::INTEGER AS sections, sum(b - a + 1)::BIGINT AS lines FROM x GROUP BY doc_id""")
+    return _each(d, units, "doc_id long, start_line int, end_line int, text string").select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("sha"))
+
+
+@_query(r"""WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
+h AS (SELECT doc_id, n, unnest(range(0, n, 5)) AS a FROM d),
+t AS (SELECT doc_id, a, least(a + 5, n) AS b, a % 10 = 0 AS top, n, string_split(text, chr(10)) AS ls FROM h JOIN documents USING (doc_id)),
+x AS (SELECT *, 't' || a || ' #' || CASE WHEN ls[a + 1] <> '' THEN 'y' ELSE '' END AS own FROM t),
+y AS (SELECT *, CASE WHEN ends_with(own, ' #') THEN 't' || a ELSE own END AS name FROM x),
+z AS (SELECT *, CASE WHEN top THEN name ELSE lag(name) OVER (PARTITION BY doc_id ORDER BY a) || ' > ' || name END AS heading, b - a = 1 AS bare, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM y)
+SELECT doc_id, (a + 1)::INTEGER AS first, b::INTEGER AS last, heading FROM z""")
 def markdown_sections(spark, sf_dir):
-    """Sections of the documents with every fifth line made a heading."""
-    import pandas as pd
+    """Sections of the documents with every fifth line made a heading, of two levels in turn."""
 
-    def sections(parts):
-        for p in parts:
-            rows = []
-            for key, text in zip(p["doc_id"], p["text"], strict=True):
-                marked = "\n".join(("# t " if i % 5 == 0 else "x ") + x for i, x in enumerate(text.split("\n")))
-                got = readers.read_markdown(marked)
-                whole = sum(sum(u.last - u.first + 1 for u in s.units) for s in got)
-                rows.append((key, len(got), whole))
-            yield pd.DataFrame(rows, columns=["doc_id", "sections", "lines"])
+    def sections(key, text):
+        marked = "\n".join((f"{'#' * (1 + i // 5 % 2)} t{i} #" if i % 5 == 0 else "x ") + x for i, x in enumerate((text or "").split("\n")))
+        return [(key, s.units[0].first, s.units[-1].last, s.heading) for s in readers.read_markdown(marked)]
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(sections, "doc_id long, sections int, lines long")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\n]+", "y").alias("text"))
+    return _each(d, sections, "doc_id long, first int, last int, heading string")
 
 
 @_query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::INTEGER AS tokens FROM documents")
 def token_count(spark, sf_dir):
     """Words of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+    count = embed.HashedWords().count
+    return _each(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda key, text: [(key, count(text or ""))], "doc_id long, tokens int")
 
 
 @_query(r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents),
 w AS (SELECT doc_id, n, unnest(range(0, (greatest(0, ceil((n - 120) / 102.0)) * 102 + 1)::BIGINT, 102)) AS s FROM t)
 SELECT doc_id, s::INTEGER AS start, least(120, n - s)::INTEGER AS tokens FROM w""")
 def split_windows(spark, sf_dir):
-    """Windows of 120 tokens with 18 shared."""
-    n = table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n"))
-    return n.select("doc_id", "n", F.explode(T.windows(F.col("n"), 120, 18)).alias("start")).select("doc_id", F.col("start").cast("int").alias("start"), F.least(F.lit(120), F.col("n") - F.col("start")).cast("int").alias("tokens"))
+    """Windows of 120 tokens with 18 shared, as long units are split."""
+    embedder = embed.HashedWords()
+
+    def split(key, text):
+        parts = chunking.split_long(readers.Unit(text or ""), 120, 18, embedder)
+        return [(key, i * 102, p.tokens) for i, p in enumerate(parts)]
+
+    return _each(table(spark, sf_dir, "documents").select("doc_id", "text"), split, "doc_id long, start int, tokens int")
 
 
 @_query()
@@ -344,10 +373,13 @@ def chunk_id(spark, sf_dir):
 @_query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'rec:' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '#3' ELSE '' END WHEN doc_id % 5 = 1 THEN 'p' || doc_id WHEN doc_id % 5 = 2 THEN 'p' || doc_id || ':L1-' || n_chars WHEN doc_id % 5 = 3 THEN 'L1-' || n_chars ELSE 'all' END AS locator FROM documents""")
 def locator(spark, sf_dir):
     """Addresses of every kind."""
-    m = F.col("doc_id") % 5
-    lines = (m == 2) | (m == 3)
-    place = T.locator(F.when(lines, F.lit(1)), F.when(lines, F.col("n_chars")), F.when((m == 1) | (m == 2), F.col("doc_id")), F.when(m == 0, F.col("doc_id").cast("string")), F.lit(2), F.when(F.col("doc_id") % 10 == 0, 3).otherwise(1))
-    return table(spark, sf_dir, "documents").select("doc_id", place.alias("locator"))
+
+    def place(key, n):
+        kind = key % 5
+        lines = (1, n) if kind in (2, 3) else (None, None)
+        return [(key, chunking.locate(*lines, key if kind in (1, 2) else None, str(key) if kind == 0 else None, 2, 3 if key % 10 == 0 else 1))]
+
+    return _each(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), place, "doc_id long, locator string")
 
 
 @_query(r"SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(substr(text, 1, 300), '\s+$', '') || ' …' END AS snippet FROM documents")
@@ -359,20 +391,32 @@ def snippet(spark, sf_dir):
 @_query("SELECT p_partkey, concat_ws(chr(10), CASE WHEN trim(p_name) <> '' THEN 'p_name: ' || p_name END, CASE WHEN trim(p_brand) <> '' THEN 'p_brand: ' || p_brand END, 'p_size: ' || p_size) AS text FROM part")
 def record_text(spark, sf_dir):
     """Rows as ``name: value`` lines."""
-    return table(spark, sf_dir, "part").select("p_partkey", T.record_text(["p_name", "p_brand", "p_size"]).alias("text"))
+    names = ["p_name", "p_brand", "p_size"]
+    shown = functools.partial(readers.record_text, options=readers.Options())
+    return _each(table(spark, sf_dir, "part").select("p_partkey", *names), lambda key, *row: [(key, shown(dict(zip(names, row, strict=True))))], "p_partkey long, text string")
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.k') AS text FROM events")
 def record_json_path(spark, sf_dir):
-    """A field of JSON records by path."""
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("text"))
+    """A field of JSON records by path, through the reader of JSON lines."""
+    options = readers.Options(text_field="k")
+
+    def field(key, props):
+        got = readers.read_jsonl(props or "", options)
+        return [(key, got[0].units[0].text if got else None)]
+
+    return _each(table(spark, sf_dir, "events").select("event_id", "props"), field, "event_id long, text string")
 
 
 @_query("SELECT c_custkey, coalesce(CASE WHEN trim(c_name) <> '' AND c_custkey % 3 > 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, c_custkey::VARCHAR) AS id FROM customer")
 def record_id(spark, sf_dir):
     """The first candidate that is not blank, else the ordinal."""
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", T.record_id(None, [F.when(key % 3 > 0, F.col("c_name")), F.when(key % 2 == 0, F.col("c_mktsegment"))], key).alias("id"))
+
+    def named(key, name, segment):
+        record = {"id": name if key % 3 else None, "key": segment if key % 2 == 0 else " "}
+        return [(key, readers.record_id(record, key, readers.Options()))]
+
+    return _each(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), named, "c_custkey long, id string")
 
 
 # --- embedding --------------------------------------------------------------------------------------------------------------
@@ -428,6 +472,14 @@ def index_summary(spark, sf_dir):
     return plans.diff(*_snapshots(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
 
+def _kept_index(spark, chunks: DataFrame) -> plans.Index:
+    """An index that holds these chunk rows, in the folder for intermediate tables."""
+    ix = plans.Index(spark, f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}", "rows")
+    none = spark.createDataFrame([], plans.FILES)
+    ix.commit(none, chunks, {"schema_version": plans.SCHEMA_VERSION, "model": {"key": "hash"}, "chunking": {}, "reader_opts": {}, "roots": [], "created": 0.0})
+    return ix
+
+
 def _chunk_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("row"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") % 3 == 0).alias("deleted"))
@@ -448,39 +500,57 @@ def index_compact(spark, sf_dir):
 
 @_query("SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id % 3 <> 0) AS alive, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS dead_share, avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END) > 0.2 AS compacts FROM documents")
 def index_info(spark, sf_dir):
-    """Rows, live rows, and whether the index is to be compacted."""
-    share = F.avg(F.col("deleted").cast("double"))
-    return _chunk_rows(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(~F.col("deleted")).alias("alive"), F.round(share, 6).alias("dead_share"), (share > plans.DEAD_SHARE).alias("compacts"))
+    """Rows, live rows, and whether the index is to be compacted, of an index of these rows."""
+    ix = _kept_index(spark, _chunk_rows(spark, sf_dir))
+    m, share = ix.info(), plans.dead_share(ix.chunks())
+    rows = m["chunks"] + m["tombstoned"]
+    return spark.createDataFrame([(rows, m["chunks"], round(share, 6), share > plans.DEAD_SHARE)], "rows long, alive long, dead_share double, compacts boolean")
 
 
 @_query("SELECT source AS index, count(*) AS chunks, count(DISTINCT lang) AS files, max(doc_id) AS updated FROM documents GROUP BY source")
 def index_list(spark, sf_dir):
-    """One row for each index."""
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("index")).agg(F.count("*").alias("chunks"), F.countDistinct("lang").alias("files"), F.max("doc_id").alias("updated"))
+    """One row for each index of a folder, of an index for each source."""
+    root = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("lang").alias("files"), F.max("doc_id").alias("updated")).collect()
+    for r in rows:  # one a source
+        ix = plans.Index(spark, root, r["source"])
+        ix.publish("g1", {"model": {"key": "hash"}, "files": r["files"], "alive": r["chunks"]}, float(r["updated"]))
+    got = [(x["index"], x["chunks"], x["files"], int(x["updated"])) for x in plans.list_indexes(spark, root)]
+    for r in rows:
+        plans.drop_index(spark, root, r["source"])
+    return spark.createDataFrame(got, "index string, chunks long, files long, updated long")
 
 
 # --- discovery --------------------------------------------------------------------------------------------------------------
 
 
-@_query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path, length(html) AS size FROM pages)
-SELECT page_id, path, size <= 4000 AS small, (regexp_matches(path, '^en/.*$') OR regexp_matches(split_part(path, '/', -1), '^en/.*$')) AND NOT (regexp_matches(path, '^.*\.html$')) AS taken FROM p""")
+_PATHS = "p AS (SELECT page_id, coalesce(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '') AS path, coalesce(length(html), 0) AS size FROM pages)"
+
+
+def _paths(spark, sf_dir):
+    path = F.coalesce(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.coalesce(F.length("html"), F.lit(0)).alias("size"))
+
+
+@_query(rf"""WITH {_PATHS}, f AS (SELECT *, split_part(path, '/', -1) AS name FROM p)
+SELECT page_id, path, CASE WHEN regexp_full_match(path, '.*1') OR regexp_full_match(name, '.*1') THEN 'leave' WHEN NOT (regexp_full_match(path, 'en/.*') OR regexp_full_match(name, '[0-4].*')) THEN 'leave' WHEN size > 4000 THEN 'large' ELSE 'take' END AS verdict FROM f""")
 def discover_filter(spark, sf_dir):
     """Include and exclude patterns and the size limit, on the pages' paths."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"), F.length("html").alias("size"))
-    return p.select("page_id", "path", (F.col("size") <= 4000).alias("small"), (T.matches_glob(F.col("path"), "en/*") & ~T.matches_glob(F.col("path"), "*.html")).alias("taken"))
+
+    def judged(key, path, size):
+        return [(key, path, discover.verdict(path, size, include=["en/*", "[0-4]*"], exclude=["*1"], most_bytes=4000))]
+
+    return _each(_paths(spark, sf_dir), judged, "page_id long, path string, verdict string")
 
 
-@_query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages),
-r AS (SELECT page_id, path, [regexp_matches(path, '^(?:.*/)?[^/]*\.html$'), regexp_matches(path, '^en/[^/]*$'), regexp_matches(path, '^(?:.*/)?1[^/]*$')] AS hits FROM p)
-SELECT page_id, path, CASE WHEN hits[3] THEN false WHEN hits[2] THEN true WHEN hits[1] THEN true ELSE false END AS ignored FROM r""")
+@_query(rf"""WITH {_PATHS},
+r AS (SELECT page_id, path, [regexp_full_match(path, '(?:.*/)?[^/]*3'), regexp_full_match(path, 'en/[^/]*'), regexp_full_match(path, '(?:.*/)?1[^/]*')] AS hits,
+  starts_with(path, 'en/') AS deep, [regexp_full_match(path[4:], '(?:.*/)?[^/]*9'), regexp_full_match(path[4:], '2[^/]*')] AS below FROM p)
+SELECT page_id, path, CASE WHEN deep AND below[2] THEN false WHEN deep AND below[1] THEN true WHEN hits[3] THEN false ELSE hits[2] OR hits[1] END AS ignored FROM r""")
 def gitignore_filter(spark, sf_dir):
-    """Ignore rules on the pages' paths: the last one that fits decides."""
-    rules = discover.ignore_rules("# rules\n*.html\n/en/*\n!1*\n")
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"))
-    verdict = F.lit(False)
-    for r in rules:
-        verdict = F.when(F.col("path").rlike(f"^(?:{r.regex.pattern})$"), F.lit(not r.keep)).otherwise(verdict)
-    return p.select("page_id", "path", verdict.alias("ignored"))
+    """Ignore files of two folders on the pages' paths: the last rule that fits decides, the lower folder's after the upper's."""
+    layers = [("/r", discover.ignore_rules("# rules\n*3\n/en/*\n!1*\n")), ("/r/en", discover.ignore_rules("*9\n!/2*\n"))]
+    return _each(_paths(spark, sf_dir).select("page_id", "path"), lambda key, path: [(key, path, discover.is_ignored(f"/r/{path}", False, layers))], "page_id long, path string, ignored boolean")
 
 
 def report(query: str, df: DataFrame, **more) -> str:

@@ -381,3 +381,19 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents with the size of their set, their component and whether they stay."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """The same rows in DuckDB SQL: every pair that shares a shingle is compared, and components are reached link by link."""
+    five = " || ' ' || ".join(f"ws[i + {j}]" for j in range(SHINGLE))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) >= {SHINGLE} THEN list_distinct([{five} FOR i IN range(1, len(ws) - {SHINGLE - 2})]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM g),
+u AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {OF} * c >= {LEAST} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM n WHERE doc_id NOT IN (SELECT b FROM l) UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d),
+c AS (SELECT d, min(m) AS m FROM r GROUP BY d)
+SELECT doc_id, n::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM n JOIN c ON d = doc_id"""

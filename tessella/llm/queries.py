@@ -20,6 +20,7 @@ QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": op1_minhash.oracle(),
         "op2_url_cascade": op2_urls.oracle(),
         "op3_quality_rules": op3_rules.oracle(),
         "op4_threshold_topk": op4_topk.oracle(),

@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file where a table's size is known, and files from which on a table is not small.
+ROWS_A_FILE, SMALL = 1 << 20, 64
 _own_dir: dict[str, str] = {}
 _kept: dict[str, SparkSession] = {}
 
@@ -47,9 +49,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, most: int | None = None) -> DataFrame:
+        """df, written and read again. most: rows that it has at most, where that is known; few are written to few files."""
         path = f"{shared_dir(self.spark)}/tessella-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        few = -(-most // ROWS_A_FILE) if most is not None else SMALL
+        (df.coalesce(max(1, few)) if few < SMALL else df).write.option("compression", "zstd").parquet(path)
         _kept[path] = self.spark
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path

@@ -36,4 +36,7 @@ def test_shared_folder_is_the_one_named(spark, monkeypatch, tmp_path):
     kept = runtime.Scratch(spark).keep(spark.range(3))
     assert kept.count() == 3 and len(list((tmp_path / "named").iterdir())) == 1
     runtime.Scratch(spark).drop(kept)
+    few = runtime.Scratch(spark).keep(spark.range(0, 3000, 1, 8), 3000)
+    assert few.count() == 3000 and len(few.inputFiles()) == 1
+    runtime.Scratch(spark).drop(few)
     assert not [p for p in (tmp_path / "named").iterdir() if p.is_dir()]

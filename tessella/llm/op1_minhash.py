@@ -311,7 +311,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wanted = scratch.keep(classes.select("doc", "id", "f1", "f2", "n").join(involved, "doc", "left_semi"))
     sets = scratch.keep(_sets(plain, wanted))
     links = scratch.keep(confirmed(stars, sets))
-    found = scratch.keep(components(links, scratch))
+    found = components(links, scratch)
 
     # buckets that still hold several components
     sized = classes.select("doc", (F.col("n") * 2 * BITS / 8 + 64).cast("long").alias("bytes"))  # of a bit array, at most
@@ -330,7 +330,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not crossed.isEmpty():
         more = scratch.keep(confirmed(crossed, sets))
         if not more.isEmpty():
-            before, found = found, scratch.keep(components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
+            before, found = found, components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
             scratch.drop(before)
         scratch.drop(more)
     scratch.drop(shared, hubs, stars, wanted, sets, links, crossed)

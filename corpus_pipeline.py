@@ -6,7 +6,15 @@
 4. secrets: confirmed and pattern-matched secrets are replaced by a mark.
 5. packing: the texts that are left are packed into sequences of several lengths.
 
-A text that stage 3 empties keeps its row and takes no room in stage 5. ``n_chars`` follows the text.
+A text that stage 3 empties keeps its row and takes no room in stage 5. ``n_chars`` follows the text. All stages but the
+last return the columns of their input, whatever these are called, and take any table of documents:
+
+* null and empty texts: not drawn by stage 1, which keeps texts with at least one token; any later stage lets them pass;
+* rows without an id are drawn, cut, cleaned and packed like any other; stage 2 keeps them all, even copies;
+* rows that repeat an id and a text are drawn together and stand for one text in stages 2 and 3: none of them is a copy of
+  the other; rows that repeat an id with another text are judged text by text;
+* equal weights in stage 1 go to the smaller id; of equal texts the smallest id stays in stage 2 and keeps its bytes in 3;
+* texts of any length are read whole; an empty table gives an empty table; without labels stage 1 keeps all texts with a token.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ from tessella.runtime import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the resampling towards labelled good texts draws."""
+    """Documents that the resampling towards labelled good texts draws; ids without a label are drawn by their text alone."""
     return op5_resampling.drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -34,7 +42,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets replaced by a mark."""
+    """Documents with secrets replaced by a mark, overlapping ones by one."""
     return _counted(op8_secrets.redact(docs))
 
 

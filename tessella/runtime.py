@@ -6,12 +6,16 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a file where a table's size is known, and files from which on a table is not small.
 ROWS_A_FILE, SMALL = 1 << 20, 64
+#: Seconds between two collections of the driver's garbage, after which Spark deletes shuffle files that nothing reads.
+PAUSE = 5.0
+_collected = [0.0]
 _own_dir: dict[str, str] = {}
 _kept: dict[str, SparkSession] = {}
 
@@ -58,8 +62,10 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
         del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - _collected[0] > PAUSE:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            _collected[0] = time.monotonic()
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -417,13 +417,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scr
     open_ = judged.filter("kind = 1").select("key", "doc", "mark", "pos", "num")
     size = F.greatest(F.count("*") / F.lit(float(MANY)), F.sum(F.col("num").cast("long") + LENGTH) / F.lit(float(MANY_BYTES)))
     crowded = open_.groupBy("key").agg(size.alias("n")).filter("n > 1").select("key", F.expr("cast(least(ceil(n * 16), 2000000000) as int)").alias("salts"))
+    crowded = scratch.keep(crowded)  # so that the join is of plain shuffles, which Spark splits where a key is hot
     wanted = open_.join(crowded, "key", "left").groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "pos", "num", F.coalesce("salts", F.lit(1)).alias("salts"))).alias("segments"))
     wanted = scratch.keep(wanted)  # a text's segments are about its own size at most
     marked = _marked(plain, "id", "text", wanted, "doc", "mark", True)
     fetched = marked.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "segments")
     cut = fetched.mapInArrow(texts.trimmed(_cut), CUT)
     more = scratch.keep(cut.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "mark", "pos").mapInArrow(texts.trimmed(_suffixes), SCHEMA))
-    scratch.drop(wanted)
+    scratch.drop(wanted, crowded)
     return judged.filter("kind = 0").unionByName(more).select("doc", "mark", "pos", "num")
 
 

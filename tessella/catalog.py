@@ -7,7 +7,6 @@ a file. Thresholds follow the tables: pairs of embeddings reach 0.5.
 from __future__ import annotations
 
 import functools
-import json
 import uuid
 
 import pyarrow as pa
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tessella import cli
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import chunking, cluster, embed, search, similarity
@@ -444,6 +444,13 @@ def md5_feature_vectors(spark, sf_dir):
     return embed.md5_features(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+@_query()
+def embed_text(spark, sf_dir):
+    """One text's vector as a query, as the command gives it: its dimensions that are not zero."""
+    got = cli.embed_text("two high tides a day", query=True)
+    return spark.createDataFrame([(i, x, got["kind"]) for i, x in enumerate(got["vector"]) if x], "dim int, value double, kind string")
+
+
 # --- index maintenance ------------------------------------------------------------------------------------------------------
 
 _K = "k AS (SELECT 'f' || doc_id AS path, n_chars AS size, doc_id::DOUBLE AS mtime, md5(text) AS sha256 FROM documents WHERE doc_id % 4 <> 0)"
@@ -551,8 +558,3 @@ def gitignore_filter(spark, sf_dir):
     """Ignore files of two folders on the pages' paths: the last rule that fits decides, the lower folder's after the upper's."""
     layers = [("/r", discover.ignore_rules("# rules\n*3\n/en/*\n!1*\n")), ("/r/en", discover.ignore_rules("*9\n!/2*\n"))]
     return _each(_paths(spark, sf_dir).select("page_id", "path"), lambda key, path: [(key, path, discover.is_ignored(f"/r/{path}", False, layers))], "page_id long, path string, ignored boolean")
-
-
-def report(query: str, df: DataFrame, **more) -> str:
-    """A result as one JSON document, as a command-line front end prints it; rows reach the driver."""
-    return json.dumps({"ok": True, "command": query, **more, "results": [r.asDict(recursive=True) for r in df.collect()]}, ensure_ascii=False, default=str)

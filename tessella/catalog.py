@@ -20,7 +20,7 @@ from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import chunking, cluster, embed, search, similarity
 from tessella.plans import index as plans
-from tessella.runtime import shared_dir, table
+from tessella.runtime import shared_dir, spread, table
 from tessella.sources import discover, readers
 
 QUERIES: dict = {}
@@ -125,7 +125,7 @@ _SPANS = "p AS (SELECT doc_id AS row, source AS path, (doc_id % 7 * 10 + 1)::INT
 def item_at_line(spark, sf_dir):
     """The narrowest chunk that covers a line of a file."""
     start = (F.col("doc_id") % 7 * 10 + 1).cast("int")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("source").alias("path"), start.alias("start_line"), (start + F.col("doc_id") % 23).cast("int").alias("end_line"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("row"), F.col("source").alias("path"), start.alias("start_line"), (start + F.col("doc_id") % 23).cast("int").alias("end_line"))
     return search.at_line(d, "src3", 25)
 
 
@@ -352,7 +352,7 @@ def split_windows(spark, sf_dir):
 def chunk_pack(spark, sf_dir):
     """Documents as files, cut into chunks of 120 tokens: a stateful fold, tested against a plain one."""
     files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return chunking.with_ids(chunking.chunk_files(files).filter("part IS NOT NULL")).select("path", "part", "chunk_id", "locator", "start_line", "end_line", "sha256")
+    return chunking.with_ids(chunking.chunk_files(spread(files)).filter("part IS NOT NULL")).select("path", "part", "chunk_id", "locator", "start_line", "end_line", "sha256")
 
 
 @_query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -425,14 +425,14 @@ def record_id(spark, sf_dir):
 @_query()
 def hash_embed(spark, sf_dir):
     """Hashed vectors of the documents: BLAKE2b is in neither engine's SQL. Non-zero dimensions and their sum."""
-    d = table(spark, sf_dir, "documents").select("doc_id", embed.embedded(F.col("text")).alias("v"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embed.embedded(F.col("text")).alias("v"))
     return d.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("dims"), F.round(V.norm(F.col("v")), 3).alias("norm"))
 
 
 @_query()
 def text_dupes_hashed(spark, sf_dir):
     """Documents whose hashed vectors have a cosine of at least 0.9."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("source").alias("path"), F.lit(False).alias("deleted"), embed.embedded(F.col("text")).alias("vec"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("row"), F.col("source").alias("path"), F.lit(False).alias("deleted"), embed.embedded(F.col("text")).alias("vec"))
     return similarity.dupes(d, embed.MODELS["hash"].dupe_threshold).withColumn("score", F.round("score", 4))
 
 

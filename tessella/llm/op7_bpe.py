@@ -5,7 +5,7 @@ the rank of the pair that starts at each symbol, its nodes the least (rank, plac
 pair of the lowest rank. Merging it changes three leaves, each an update of logarithmic cost, and ends when the root
 says that no pair can be merged; a part of n bytes takes O(n log n), however long and whatever it holds.
 
-Encoded parts of at most SHORT characters are remembered in each worker process, up to CACHE of them (about 200 MB): those
+Encoded parts of at most SHORT characters are remembered in each worker process, up to CACHE of them (about 330 MB): those
 met since the last CACHE / 2 new ones, and those before them, so parts that go on occurring stay. Memory is bounded and
 results do not depend on it. The vocabulary (a file of fixed size) is read
 once by the driver and broadcast.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import texts
 
-CACHE, SHORT = 600_000, 48
+CACHE, SHORT = 1_000_000, 48
 #: Largest vocabulary file that is broadcast.
 MOST_BYTES = 16 << 20
 _NONE = 1 << 62

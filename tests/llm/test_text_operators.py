@@ -1,5 +1,6 @@
 import base64
 import collections
+import functools
 import math
 import random
 import re
@@ -132,6 +133,7 @@ def plain_draw(rows, labels, k=None):
         x = (x ^ x >> 27) * 0x94D049BB133111EB & top
         return x ^ x >> 31
 
+    @functools.cache
     def token(raw):
         state = mix(len(raw) * texts._BASE & top)
         if len(raw) > texts.LONG:

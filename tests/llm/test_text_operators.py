@@ -154,9 +154,9 @@ def plain_draw(rows, labels, k=None):
         raw.update(found)
         if d in good:
             aim.update(found)
-    every = range(op5_resampling.BUCKETS)
-    base = [(raw[i] + 1) / (raw.total() + len(every)) for i in every]
-    ratio = [(aim[i] + op5_resampling.SHRINK) / (aim.total() * base[i] + op5_resampling.SHRINK) for i in every]
+    every, n, most = range(op5_resampling.BUCKETS), raw.total(), aim.total()
+    base = [(raw[i] + 1) / (n + len(every)) for i in every]
+    ratio = [(aim[i] + op5_resampling.SHRINK) / (most * base[i] + op5_resampling.SHRINK) for i in every]
     whole = sum(p * r for p, r in zip(base, ratio, strict=True))
     weight = {d: sum(math.log(ratio[i] / whole) + op5_resampling.LASTING for i in found) for d, found in grams.items()}
     noise = {d: -math.log(-math.log(((mix((d ^ op5_resampling.SEED * 0x9E3779B97F4A7C15) & top) >> 11) + 0.5) / (1 << 53))) for d in grams}

@@ -144,3 +144,32 @@ def test_stream(spark, tmp_path):
 def test_windowed_counts(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert incremental.windowed_counts(events).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_sources_in_a_store(spark, tmp_path):
+    text = "The moon pulls the sea and high tides come twice a day.\n"
+    for name in ("src/a b.md", "src/day=1/c*.txt", "src/day=2/d.txt", "src/skip.log", "src/node_modules/e.js", "src/.env", "src/_f.txt", "src/p.png", "other/g.md"):
+        write(str(tmp_path / name), f"{text}{name}\n")
+    write(str(tmp_path / "src/.gitignore"), "*.log\n")
+    ix = plans.Index(spark, f"file://{tmp_path}/ix", "store")
+    src, other, disk = f"file://{tmp_path}/src", f"file://{tmp_path}/other/g.md", str(tmp_path / "other")
+    base = f"file:{tmp_path}"
+    shown = [f"{base}/src/a b.md", f"{base}/src/day=1/c*.txt", f"{base}/src/day=2/d.txt"]
+    made = ix.build([src, other])
+    assert sorted(r["path"] for r in ix.files().collect()) == sorted([*shown, f"{base}/other/g.md"])
+    assert (made["added"], made["chunks_embedded"]) == (4, 4)
+    assert {r["path"]: r["text"].split()[-1] for r in ix.chunks().collect()}[shown[1]] == "src/day=1/c*.txt"
+    assert ix.manifest()["roots"] == sorted([f"{base}/src", f"{base}/other/g.md"])
+
+    again = ix.build([src])  # the other root's file stays, though it is not listed
+    assert (again["added"], again["changed"], again["removed"], again["unchanged"]) == (0, 0, 0, 3)
+    write(shown[0][len("file:") :], text * 2 + "now two lines\n")
+    os.utime(shown[1][len("file:") :], (1, 1))
+    os.remove(shown[2][len("file:") :])
+    made = ix.build([src, disk])  # folders on disk and in stores, together
+    want = {shown[0]: "changed", shown[1]: "touched", shown[2]: "removed", f"{base}/other/g.md": "elsewhere", f"{tmp_path}/other/g.md": "added"}
+    assert {r["path"]: r["status"] for r in made["statuses"].collect()} == want
+    assert sorted(r["path"] for r in ix.files().collect()) == sorted(p for p, s in want.items() if s != "removed")
+    with pytest.raises(FileNotFoundError):
+        ix.build([f"file://{tmp_path}/nowhere"])
+    assert ix.build([src], exclude=["*.md"])["removed"] == 1

@@ -13,9 +13,9 @@ meets in some table with probability (1 - (1 - 0.75 ** WIDTH) ** HALVES) ** 2: 0
 ranges of (key, class), so a bucket of any size is split. In a bucket each member is first paired with the bucket's
 busiest member only, which joins a group of n copies in n checks. Buckets that then still hold more than one component
 send the members outside their main one round their blocks, to meet all members of other components; pairs that set sizes
-or a bit array of the set (BITS a shingle) prove too different are left out, no pair that could be a link. Confirmation
-streams over (hub, block) runs and holds one hub's set and one member's set at a time. Links, components and sets stay
-distributed.
+or a bit array of the set (BITS a shingle) prove too different are left out, no pair that could be a link. A pair that
+meets in several buckets is named once, in that of its first common half-keys. Confirmation streams over (hub, block) runs
+and holds one hub's set and one member's set at a time. Links, components and sets stay distributed.
 
 *Hashes.* Shingles are compared by 64-bit hashes (``texts.word_hashes``): a link is wrong only where hashes of unlike
 shingles meet within one pair of texts, one in 2 ** 64 for each pair of shingles.
@@ -131,15 +131,19 @@ def _slim(batches):
             ["id", "n", "f1", "f2", "keys", "cells"])
 
 
+def _table(left: np.ndarray, right: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Keys of tables from their two half-keys; tag: HALVES * the left one's place + the right one's."""
+    return texts.mix(left * np.uint64(_C[0]) + right * np.uint64(_C[1]) + tag * np.uint64(_C[3]))
+
+
 def _table_keys(batches):
     """(key, doc) for every pair of half-keys of a class."""
     for b in batches:
         for start in range(0, b.num_rows, 1024):
             part = b.slice(start, 1024)
             keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(part.num_rows, 2 * HALVES)
-            left, right = keys[:, :HALVES], keys[:, HALVES:]
             tag = np.arange(HALVES * HALVES, dtype=np.uint64).reshape(1, HALVES, HALVES)
-            table = texts.mix(left[:, :, None] * np.uint64(_C[0]) + right[:, None, :] * np.uint64(_C[1]) + tag * np.uint64(_C[3]))
+            table = _table(keys[:, :HALVES, None], keys[:, None, HALVES:], tag)
             yield pa.RecordBatch.from_arrays([pa.array(table.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), HALVES * HALVES))], ["key", "doc"])
 
 
@@ -223,6 +227,7 @@ class _Members:
     def __init__(self, rows):
         self.doc, self.n, self.comp = (np.array(c) for c in zip(*[r[:3] for r in rows], strict=True))
         self.bits = [r[3] for r in rows]
+        self.halves = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), 2 * HALVES)
         self.size = np.array([len(x) // 8 for x in self.bits])
         self.folded = {}
 
@@ -232,10 +237,19 @@ class _Members:
             self.folded[size, to] = np.stack([_folded(self.bits[m], to) for m in np.flatnonzero(self.size == size)])
         return self.folded[size, to]
 
-    def partners(self, doc: int, n: int, comp: int, bits: bytes) -> np.ndarray:
-        """Members of other components that neither set sizes nor bit arrays prove unlinked to the probe."""
+    def partners(self, doc: int, n: int, comp: int, bits: bytes, halves: bytes, main: int, stands: np.ndarray) -> np.ndarray:
+        """Members of other components that neither set sizes nor bit arrays prove unlinked to the probe.
+
+        Two members may meet in many buckets: only the one of their first common left and right half-keys names the pair, if
+        it is among those that this bucket stands for (``stands``). Of two probes the smaller names it.
+        """
         out, own = [], len(bits) // 8
-        ok = (self.comp != comp) & (self.doc != doc) & (OF * np.minimum(n, self.n) >= LEAST * np.maximum(n, self.n))
+        ok = (self.comp != comp) & ((self.comp == main) | (self.doc > doc)) & (OF * np.minimum(n, self.n) >= LEAST * np.maximum(n, self.n))
+        some = np.flatnonzero(ok)
+        mine = np.frombuffer(halves, np.uint64)
+        equal = self.halves[some] == mine
+        i, j = equal[:, :HALVES].argmax(axis=1), equal[:, HALVES:].argmax(axis=1)
+        ok[some] = np.isin(_table(mine[i], mine[HALVES + j], (HALVES * i + j).astype(np.uint64)), stands)
         for size in np.unique(self.size[ok]).tolist():
             members = np.flatnonzero(self.size == size)
             some = ok[members]
@@ -247,24 +261,29 @@ class _Members:
 
 
 def _probed(batches):
-    """Rows (key, block, kind, doc, n, component, cells) sorted by the first three: a block's members (kind 0) and then the probes that meet them, to pairs (smaller doc, larger doc) that must be confirmed."""
+    """Rows (key, block, kind, doc, n, component, cells, keys, stands) sorted by the first three: the bucket's main component
+    and the keys it stands for (kind 0), a block's members (1) and then the probes that meet them (2), to pairs (smaller doc,
+    larger doc) that must be confirmed, each once."""
     run, rows, members = None, [], None
     for batch in batches:
         out = []
-        for key, block, kind, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+        for key, block, kind, *row, held in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
             if (key, block) != run:
                 run, rows, members = (key, block), [], None
             if kind == 0:
+                main, stands = row[2], np.array(held, np.int64).view(np.uint64)
+                continue
+            if kind == 1:
                 rows.append(row)
                 continue
             if members is None:
                 if not rows:
                     continue
                 members, rows = _Members(rows), []
-            if len(found := members.partners(*row)):
+            if len(found := members.partners(*row, main, stands)):
                 out.append(np.stack([np.minimum(found, row[0]), np.maximum(found, row[0])]))
         if out:
-            got = np.unique(np.concatenate(out, axis=1), axis=1)
+            got = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["doc", "hub"])
 
 
@@ -314,18 +333,22 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = components(links, scratch)
 
     # buckets that still hold several components
-    sized = classes.select("doc", (F.col("n") * 2 * BITS / 8 + 64).cast("long").alias("bytes"))  # of a bit array, at most
+    sized = classes.select("doc", (F.col("n") * 2 * BITS / 8 + 64 + 16 * HALVES).cast("long").alias("bytes"))  # of a bit array and half-keys, at most
     placed = shared.join(found, "doc", "left").join(sized, "doc").select("key", "doc", F.coalesce("component", "doc").alias("component"), "bytes")
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("size"), F.sum("b").alias("bytes"), F.sum("s").alias("sum")).filter("parts > 1")
-    once = mixed.groupBy("size", "bytes", "sum").agg(F.min(F.struct("key", F.col("m.component").alias("main"))).alias("k"))  # buckets of the same members count once
-    once = once.select("k.key", "k.main", F.expr(f"cast(ceil(bytes / {BLOCK_BYTES}.0) as int)").alias("blocks"))
-    members = placed.join(once, "key")
-    home = members.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "doc", "component")
+    # buckets of the same members count once, and stand for the keys of all: HALVES ** 2 at most, as a member has no more
+    once = mixed.groupBy("size", "bytes", "sum").agg(F.min(F.struct("key", F.col("m.component").alias("main"))).alias("k"), F.collect_list("key").alias("stands"))
+    once = once.select("k.key", "k.main", F.expr(f"cast(ceil(bytes / {BLOCK_BYTES}.0) as int)").alias("blocks"), "stands")
+    once = scratch.keep(once.withColumn("block", F.expr("explode(sequence(0, blocks - 1))")))
+    members = placed.join(once.filter("block = 0").select("key", "main", "blocks"), "key")
+    home = members.select("key", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), "doc", "component")
     # two members of different components are not both in the bucket's main one: the others go round its blocks
-    probes = members.filter("component <> main").select("key", F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(1).alias("kind"), "doc", "component")
-    met = home.unionByName(probes).join(classes.select("doc", "n", "cells"), "doc").select("key", "block", "kind", "doc", "n", "component", "cells")
-    crossed = met.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(texts.trimmed(_probed), "doc long, hub long").distinct()
+    probes = members.filter("component <> main").select("key", F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.lit(2).alias("kind"), "doc", "component")
+    met = home.unionByName(probes).join(classes.select("doc", "n", "cells", "keys"), "doc").select("key", "block", "kind", "doc", "n", "component", "cells", "keys")
+    heads = once.select("key", "block", F.lit(0).alias("kind"), F.col("main").alias("component"), "stands")
+    met = heads.unionByName(met, allowMissingColumns=True).select("key", "block", "kind", "doc", "n", "component", "cells", "keys", "stands")
+    crossed = met.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(texts.trimmed(_probed), "doc long, hub long")
     crossed = scratch.keep(crossed.join(stars.select(F.least("doc", "hub").alias("doc"), F.greatest("doc", "hub").alias("hub")), ["doc", "hub"], "left_anti"))
     if not crossed.isEmpty():
         more = scratch.keep(confirmed(crossed, sets))
@@ -333,7 +356,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             before, found = found, components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
             scratch.drop(before)
         scratch.drop(more)
-    scratch.drop(shared, hubs, stars, wanted, sets, links, crossed)
+    scratch.drop(shared, hubs, stars, wanted, sets, links, once, crossed)
 
     least = scratch.keep(found.join(classes.select("doc", "id"), "doc").groupBy("component").agg(F.min("id").alias("least")))
     named = found.join(least, "component").select("doc", "least")

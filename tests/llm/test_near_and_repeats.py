@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import components, op1_minhash, op10_suffixes, texts
@@ -185,3 +186,27 @@ def test_two_stage_order(alphabet):
         for x in bodies:
             want.append([p for p in range(len(x) - 99) if x[p : p + 100] in seen or seen.add(x[p : p + 100])])
         assert [w.tolist() for w in op10_suffixes.repeated_windows(bodies)] == want
+
+
+def test_pairs_of_many_buckets_are_named_once():
+    """Every linked pair that shares a table is named, and no pair twice, however many buckets hold both."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(base, r.choice(60, r.integers(0, 12), replace=False)), r.integers(0, 1 << 63, r.integers(0, 9), dtype=np.uint64)])) for _ in range(40)]
+    halves = op1_minhash.half_keys(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    tables = pa.Table.from_batches(op1_minhash._table_keys([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([h.tobytes() for h in halves])], ["doc", "keys"])])).to_pandas()
+    buckets = tables.groupby("key")["doc"].agg(tuple)
+    buckets = buckets[buckets.map(len) > 1]
+    rows = []
+    for members, keys in buckets.groupby(buckets).groups.items():  # all in components of their own
+        rows.append((keys[0], 0, 0, None, None, members[0], None, None, list(keys)))
+        for kind in (1, 2):
+            rows += [(keys[0], 0, kind, m, len(sets[m]), m, op1_minhash._bit_array(sets[m]), halves[m].tobytes(), None) for m in members[kind - 1 :]]
+    names = ["key", "block", "kind", "doc", "n", "component", "cells", "keys", "stands"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows])
+    named = [(a, b) for got in op1_minhash._probed([batch]) for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
+    meet = {(a, b) for members in buckets for a in members for b in members if a < b}
+    assert len(named) == len(set(named)) and set(named) <= meet
+    linked = {(a, b) for a, b in meet if op1_minhash._linked(sets[a], sets[b])}
+    assert linked and linked <= set(named)
+    assert sum(len(members) * (len(members) - 1) // 2 for members in buckets) > 3 * len(meet)

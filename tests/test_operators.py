@@ -237,3 +237,61 @@ def test_text_expressions(spark):
     assert len({r["i"] for r in T.unique_ids(ids, "i", ["n"]).collect()}) == 3
     paths = spark.createDataFrame([("a/b.md",), ("c.py",)], "p string")
     assert [r["p"] for r in paths.filter(T.matches_glob(F.col("p"), "[!c]*.md")).collect()] == ["a/b.md"]
+
+
+def linked_plainly(m, threshold):
+    """(copy_of, class_id, n_links) of each row, pair by pair."""
+    n = len(m)
+    links = [[j for j in range(n) if j != i and m[i].any() and (np.array_equal(m[i], m[j]) or m[i].astype(float) @ m[j].astype(float) >= threshold)] for i in range(n)]
+    out = {}
+    for i in range(n):
+        reached, left = {i}, [i]
+        while left:
+            more = set(links[left.pop()]) - reached
+            reached |= more
+            left += more
+        out[i] = (min([i, *(j for j in links[i] if np.array_equal(m[i], m[j]))]), min(reached), len(links[i]))
+    return out
+
+
+@pytest.mark.parametrize("bound", [True, False])
+def test_classes_of_near_equal_vectors(spark, monkeypatch, bound):
+    """Copies, chains, zero vectors, a group of near copies; many blocks and groups, with and without the bound on axes."""
+    from tessella.operators import near
+
+    for name, value in {"SIZE": 7, "GROUPS": 6, "LEAST": 12, "DEALT": 60, "AXES": 9, "SAMPLE": 50 if bound else 10_000}.items():
+        monkeypatch.setattr(near, name, value)
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((300, 40)) < rng.uniform(0.05, 1, (300, 1)), rng.integers(-3, 4, (300, 40)), 0).astype(float)
+    m[100:160] = m[40] + (rng.random((60, 40)) < 0.05)  # near copies
+    m[200:220] = m[50]
+    m[230] = 0
+    for i in range(240, 270):  # a chain
+        m[i] = m[i - 1] + 0.3 * np.abs(m[i - 1]).max() * rng.normal(size=40)
+    m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    assert np.array_equal(near.decoded(near.coded(m)), m)
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(near.coded(m))], "id long, code binary").repartition(5)
+    got = {r["row"]: (r["copy_of"], r["class_id"], r["n_links"]) for r in near.classes(df, "id", "code", 0.9).collect()}
+    want = linked_plainly(m, 0.9)
+    assert got == want and len({x[1] for x in want.values()}) < 250 and want[230] == (230, 230, 0)
+    assert near.classes(df.filter("id = 230"), "id", "code", 0.9).collect()[0]["n_links"] == 0
+    with pytest.raises(ValueError, match="threshold"):
+        near.classes(df, "id", "code", 0.0)
+
+
+def test_codes_of_many_values():
+    from tessella.operators import near
+
+    m = np.random.default_rng(2).normal(size=(3, 700)).astype(np.float32)
+    assert np.array_equal(near.decoded(near.coded(m)), m)
+
+
+def test_a_batch_is_encoded_in_slices(spark):
+    """A worker never makes the vectors of a whole Arrow batch at once."""
+
+    class Sized:
+        def encode(self, texts, kind):
+            return np.full((len(texts), 2), float(len(texts)), np.float32)
+
+    rows = spark.range(0, 3000, 1, 1).select(embed.embedded(F.col("id").cast("string"), Sized).alias("v")).collect()
+    assert len(rows) == 3000 and max(r["v"][0] for r in rows) <= embed.ROWS
